@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, secret_scan, url_filter
+from . import decontaminate, exact_dedup, license_scan, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
 }
