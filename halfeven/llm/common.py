@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -9,6 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_DOUBLE = re.compile(r"\s ")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that end a word of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, as a Java pattern.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,3 +73,30 @@ def drop_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def slices(texts, most: int = 1 << 22):
+    """Runs [begin, end) of an Arrow string array whose texts have some megabytes together (or one long text)."""
+    import pyarrow.compute as pc
+
+    begin, held = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if held and held + n > most:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def units(text: str) -> list[str]:
+    """Cuts a text where a byte-level tokenizer surely starts a new piece: before a space that follows a non-blank.
+
+    Pieces of `public_tokenizers.PATTERN` never run across such a place and never look past it, so the ids of a text
+    are the ids of its units in turn, and equal units need to be encoded once.
+    """
+    found = _DOUBLE.search(text) if text else None
+    if found is None and text:
+        first, *rest = text.split(" ")
+        return [first, *[f" {x}" for x in rest]] if first else [f" {x}" for x in rest]
+    return re.split(r"(?<=\S)(?= )", text) if text else []

@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -84,24 +84,12 @@ def _features(data: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None =
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose texts have some megabytes together: it bounds what numpy holds at once."""
-    begin, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
-        if held and held + n > most:
-            yield begin, i
-            begin, held = i, 0
-        held += n
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts that have each bucket, by label, of one partition."""
     n = np.zeros((2, 1 << BITS), dtype=np.int64)
     for batch in batches:
         label = np.asarray(batch.column("toxic").to_pylist(), dtype=np.int64)
-        for a, b in _slices(batch.column("text")):
+        for a, b in slices(batch.column("text")):
             doc, bucket = _features(*_fold(batch.column("text").slice(a, b - a)))
             np.add.at(n, (label[a:b][doc], bucket), 1)
     have = np.flatnonzero(n.any(axis=0))
@@ -156,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, kept: in
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _slices(batch.column("text")):
+            for a, b in slices(batch.column("text")):
                 doc, bucket = _features(*_fold(batch.column("text").slice(a, b - a)), wanted)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.searchsorted(buckets, bucket), pa.int32()))
@@ -182,7 +170,7 @@ def scorer(model: Model):
         for texts in batches:
             held = pa.array([None if t is None else t for t in texts], pa.string())
             out = np.empty(len(held))
-            for a, b in _slices(held):
+            for a, b in slices(held):
                 doc, bucket = _features(*_fold(held.slice(a, b - a)), wanted)
                 z = np.bincount(doc, weights=weights[bucket], minlength=b - a) + model.bias
                 out[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
