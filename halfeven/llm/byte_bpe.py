@@ -13,12 +13,13 @@ import base64
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, table, units
+from .common import cut, slices, table
 
 #: Distinct pieces of text whose ids a worker remembers, at most (about 250 bytes each); beyond it starts anew.
 REMEMBERED = 400_000
@@ -97,8 +98,8 @@ class ByteBpe:
         following[ends - 1] = -1
         return pa.table({"w": pa.array(np.repeat(np.arange(len(pieces)), lengths), pa.int32()), "pos": pa.array(pos), "tok": pa.array(tok), "np": pa.array(pos + 1), "nx": pa.array(following, pa.int32())})
 
-    def contract(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of distinct pieces that are not tokens themselves."""
+    def contract(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids, as little-endian u32, of distinct pieces that are not tokens themselves."""
         out: list = [None] * len(pieces)
         short = [k for k, p in enumerate(pieces) if len(p) <= LONG_BYTES]
         for at in range(0, len(short), 50_000):
@@ -119,20 +120,23 @@ class ByteBpe:
     @staticmethod
     def _split(out: list, places: list[int], rows: pa.Table) -> None:
         w, tok = rows.column("w").to_numpy(), rows.column("tok").to_numpy().astype("<i4")
-        for k, ids in zip(places, np.split(tok, np.flatnonzero(np.diff(w)) + 1), strict=True):
-            out[k] = ids.tobytes()
+        raw, begin = tok.tobytes(), 0
+        for k, end in zip(places, [*(np.flatnonzero(np.diff(w)) * 4 + 4).tolist(), len(raw)], strict=True):
+            out[k] = raw[begin:end]
+            begin = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        cut = [units(t) for t in texts]
-        new = list({u for c in cut for u in c} - self.known.keys())
-        if len(new) + len(self.known) > REMEMBERED:
+        parts = [cut(t) for t in texts]
+        heads = [p[0] for p in parts]
+        rest = [p[1:] for p in parts]
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            new = list({u for c in cut for u in c})
-        pieces = [self.pieces(u) for u in new]
+        new = [*set(heads), *[f" {p}" for p in set().union(*rest) - self.known.keys()]]
+        pieces = list(map(self.pieces, new))
         ids: dict[str, bytes] = {}
         todo = []
-        for p in {p for ps in pieces for p in ps}:
+        for p in set(chain.from_iterable(pieces)):
             raw = p.encode()
             if (i := self.ranks.get(raw)) is not None:
                 ids[p] = i.to_bytes(4, "little")
@@ -140,10 +144,12 @@ class ByteBpe:
                 todo.append((p, raw))
         if todo:
             ids.update(zip([p for p, _ in todo], self.contract([raw for _, raw in todo]), strict=True))
-        known = self.known
-        for u, ps in zip(new, pieces, strict=True):
-            known[u] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
-        return [np.frombuffer(b"".join([known[u] for u in c]), dtype="<i4") for c in cut]
+        found = [ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for ps in pieces]
+        n = len(set(heads))
+        first = dict(zip(new[:n], found[:n], strict=True))
+        self.known.update(zip([u[1:] for u in new[n:]], found[n:], strict=True))
+        get = self.known.__getitem__
+        return [np.frombuffer(first[h] + b"".join(map(get, r)), dtype="<i4") for h, r in zip(heads, rest, strict=True)]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""

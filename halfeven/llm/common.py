@@ -89,14 +89,13 @@ def slices(texts, most: int = 1 << 22):
         yield begin, len(texts)
 
 
-def units(text: str) -> list[str]:
-    """Cuts a text where a byte-level tokenizer surely starts a new piece: before a space that follows a non-blank.
+def cut(text: str) -> list[str]:
+    """Cuts a text where a byte-level tokenizer surely starts a new piece: at a space that follows a non-blank.
 
-    Pieces of `public_tokenizers.PATTERN` never run across such a place and never look past it, so the ids of a text
-    are the ids of its units in turn, and equal units need to be encoded once.
+    Pieces of `public_tokenizers.PATTERN` never run across such a place and never look past it, so the ids of a text are
+    those of its first part, then those of a space and each further part in turn; equal parts need to be encoded once.
     """
-    found = _DOUBLE.search(text) if text else None
-    if found is None and text:
-        first, *rest = text.split(" ")
-        return [first, *[f" {x}" for x in rest]] if first else [f" {x}" for x in rest]
-    return re.split(r"(?<=\S)(?= )", text) if text else []
+    if not _DOUBLE.search(text):
+        return text.split(" ") if text[:1] != " " else ["", *text[1:].split(" ")]
+    first, *rest = re.split(r"(?<=\S)(?= )", text)
+    return [first, *[x[1:] for x in rest]]

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget_at_exit, scratch_path, slices, table, units
+from .common import cut, forget_at_exit, scratch_path, slices, table
 
 MAGIC, BLOCK = b"DAC1", 512
 #: Ids of a segment, about; a document is never cut.
 SEGMENT = 1 << 20
-REMEMBERED = 400_000
+#: Distinct parts of text whose ids a worker remembers, about (some 200 bytes each); beyond it starts anew.
+REMEMBERED = 600_000
 END = 0
 
 
@@ -139,31 +140,62 @@ class Dac:
         return out
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+class _Encoder:
+    """Ids of texts from the tokenizers library; equal parts of text are encoded once while they are remembered."""
 
+    def __init__(self, path: str):
+        import os
 
-def _ids(path: str, texts: list[str]) -> list[bytes]:
-    """Each text's ids as little-endian u32, from the tokenizers library; equal units of text are encoded once."""
-    import os
-
-    if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _TOKENIZERS[path] = tokenizer, {}
-    tokenizer, known = _TOKENIZERS[path]
-    cut = [units(t) for t in texts]
-    new = list({u for c in cut for u in c} - known.keys())
-    if len(new) + len(known) > REMEMBERED:
-        known.clear()
-        new = list({u for c in cut for u in c})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for u, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[u] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join([known[u] for u in c]) for c in cut]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)  # a character stands for a byte
+        self.known: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes parts with a space before each.  Some thousand at a time are one text, cut again by the tokens' widths in bytes."""
+        known = self.known
+        for at in range(0, len(parts), 4096):
+            some = [p for p in parts[at : at + 4096] if p and not p[-1].isspace()]
+            alone = [p for p in parts[at : at + 4096] if not p or p[-1].isspace()]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids if some else [], dtype="<u4")
+            ends, after = np.cumsum(self.width[ids]), np.cumsum([1 + len(p.encode()) for p in some])
+            places = np.searchsorted(ends, after) + 1
+            if some and (places[-1] != len(ids) or (ends[places - 1] != after).any()):
+                alone, some = [*some, *alone], []
+            raw, begin = ids.tobytes(), 0
+            for p, stop in zip(some, (places * 4).tolist() if some else (), strict=True):
+                known[p] = raw[begin:stop]
+                begin = stop
+            known.update(zip(alone, self._each([f" {p}" for p in alone]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian u32."""
+        parts = [cut(t) for t in texts]
+        heads = self._each([p[0] for p in parts])
+        rest = [p[1:] for p in parts]
+        wanted = set().union(*rest)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self._learn(list(wanted - self.known.keys()))
+        get = self.known.__getitem__
+        return [h + b"".join(map(get, r)) for h, r in zip(heads, rest, strict=True)]
+
+
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+def _ids(path: str, texts: list[str]) -> list[bytes]:
+    """Each text's ids; a worker, which is used again, builds its encoder once."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    return _ENCODERS[path].encode(texts)
 
 
 SEGMENTS = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
