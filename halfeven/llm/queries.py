@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, license_scan, near_dedup, secret_scan, token_store, toxicity, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, license_scan, near_dedup, repeats, secret_scan, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_token_store": token_store.op2_token_store,
+    "op3_repeats": repeats.op3_repeats,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_decontaminate": decontaminate.op6_decontaminate,
