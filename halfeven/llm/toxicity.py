@@ -30,6 +30,8 @@ MAX_TRAIN = 20_000
 #: Buckets that the classifier keeps, at most.
 KEPT = 2_000
 THRESHOLD = 0.3
+#: Bytes of text that numpy holds at once, about (each takes some 100 bytes of arrays).
+PIECE = 1 << 19
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,7 +91,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros((2, 1 << BITS), dtype=np.int64)
     for batch in batches:
         label = np.asarray(batch.column("toxic").to_pylist(), dtype=np.int64)
-        for a, b in slices(batch.column("text")):
+        for a, b in slices(batch.column("text"), PIECE):
             doc, bucket = _features(*_fold(batch.column("text").slice(a, b - a)))
             np.add.at(n, (label[a:b][doc], bucket), 1)
     have = np.flatnonzero(n.any(axis=0))
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, kept: in
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), PIECE):
                 doc, bucket = _features(*_fold(batch.column("text").slice(a, b - a)), wanted)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.searchsorted(buckets, bucket), pa.int32()))
@@ -170,7 +172,7 @@ def scorer(model: Model):
         for texts in batches:
             held = pa.array([None if t is None else t for t in texts], pa.string())
             out = np.empty(len(held))
-            for a, b in slices(held):
+            for a, b in slices(held, PIECE):
                 doc, bucket = _features(*_fold(held.slice(a, b - a)), wanted)
                 z = np.bincount(doc, weights=weights[bucket], minlength=b - a) + model.bias
                 out[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
