@@ -328,6 +328,9 @@ class Compiler:
     def _pair(self, x: Any, y: Any, scope) -> tuple[Typed, Typed]:
         a, b = self.value(x, scope), self.value(y, scope)
         ty.comparable(a.type, b.type)
+        if a.type.name == b.type.name == "time" and a.type.a != b.type.a:  # Spark compares equal precisions only
+            to = SqlType("time", max(a.type.a, b.type.a))
+            a, b = temporal.precision(a, to), temporal.precision(b, to)
         return a, b
 
     def _cmp_(self, scope, op, x, y):
