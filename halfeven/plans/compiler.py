@@ -52,13 +52,15 @@ class Scope:
     parent: Scope | None = None
     #: Sources of the parent that this block reads again, because a block inside it refers to them.
     taken: dict[str, Source] = field(default_factory=dict)
-    grew: bool = False
 
     def find(self, qualifier: str | None, name: str) -> Typed | None:
-        found = [c for s in [*self.sources, *self.taken.values()] if qualifier in (None, s.name) and (c := s.column(name))]
-        if len(found) > 1:
-            raise EngineError(SYNTAX, f"{name} is ambiguous")
-        return found[0] if found else None
+        for sources in (self.sources, self.taken.values()):
+            found = [c for s in sources if qualifier in (None, s.name) and (c := s.column(name))]
+            if len(found) > 1:
+                raise EngineError(SYNTAX, f"{name} is ambiguous")
+            if found:
+                return found[0]
+        return None
 
 
 class Compiler:
