@@ -3,7 +3,7 @@
 Every rolling two-word gram of every text is joined, by hash, to the places where it stands in the
 license templates.  A match at word p of the text and word t of the template votes for diagonal
 p - t; votes are counted per diagonal, neighbouring diagonals (a word added or left out) are merged,
-and a merged span counts as found when enough of its template's grams voted.  The words themselves
+and a merged span counts as found when enough different grams of its template voted.  The words themselves
 are compared in the join, so a hash collision cannot vote.
 """
 
@@ -43,7 +43,7 @@ def template_rows(templates: list[tuple[str, str]]) -> list[tuple]:
 
 
 def license_spans(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """Votes by diagonal: row_id, doc_id, template, diagonal, votes.  Template -1 has the number of words as its diagonal.
+    """Votes by diagonal: row_id, doc_id, template, diagonal, votes (a bit for each of the template's grams, 63 at most).  Template -1 has the number of words as its diagonal.
 
     The template table is a fixed list of phrases (a few dozen rows), so broadcasting it is safe at any input size.
     Rows are dealt by row_id, which is one per document: no key is hot.
@@ -63,10 +63,10 @@ def license_spans(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFram
         F.broadcast(places), (F.col("gram") == F.col("key")) & (F.col("w1") == F.col("t1")) & F.col("w2").eqNullSafe(F.col("t2"))
     )
     return (
-        hits.select("row_id", "doc_id", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"))
+        hits.select("row_id", "doc_id", "template", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
         .repartition("row_id")
         .groupBy("row_id", "doc_id", "template", "diagonal")
-        .agg(F.count(F.lit(1)).alias("votes"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("votes"))
     )
 
 
@@ -85,8 +85,8 @@ def license_scan(docs: DataFrame, base=BASE, extra=EXTRA, drift: int = DRIFT, en
     order = Window.partitionBy("row_id", "template").orderBy("diagonal")
     merged = votes.withColumn(
         "span", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= drift, 0).otherwise(1)).over(order)
-    ).withColumn("span_votes", F.sum("votes").over(Window.partitionBy("row_id", "template", "span")))
-    whole = F.col("is_base") & (F.col("votes") == F.col("grams"))
+    ).withColumn("span_votes", F.bit_count(F.bit_or("votes").over(Window.partitionBy("row_id", "template", "span"))))
+    whole = F.col("is_base") & (F.bit_count("votes") == F.col("grams"))
     share = F.when(F.col("template") >= 0, F.least(F.lit(1.0), F.col("span_votes") / F.col("grams")))
     found = whole | (~F.col("is_base") & (share >= enough))
     join = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
@@ -114,11 +114,11 @@ WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 g AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w),
 t(template, tpos, t1, t2) AS (VALUES {grams}),
 f(template, grams, label, is_base) AS (VALUES {facts}),
-v AS (SELECT doc_id, template, i - 1 - tpos AS diagonal, count(*) AS votes FROM g JOIN t ON w[i] = t1 AND w[i + 1] = t2 GROUP BY ALL),
+v AS (SELECT doc_id, template, i - 1 - tpos AS diagonal, bit_or(1::BIGINT << tpos) AS votes FROM g JOIN t ON w[i] = t1 AND w[i + 1] = t2 GROUP BY ALL),
 m AS (SELECT *, sum(CASE WHEN diagonal - prev <= {drift} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span
       FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS prev FROM v)),
-s AS (SELECT m.*, grams, label, is_base, is_base AND votes = grams AS whole,
-             least(1.0::DOUBLE, (sum(votes) OVER (PARTITION BY doc_id, m.template, span))::DOUBLE / grams) AS share FROM m JOIN f USING (template)),
+s AS (SELECT m.*, grams, label, is_base, is_base AND bit_count(votes) = grams AS whole,
+             least(1.0::DOUBLE, bit_count(bit_or(votes) OVER (PARTITION BY doc_id, m.template, span))::DOUBLE / grams) AS share FROM m JOIN f USING (template)),
 a AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, min(diagonal) FILTER (whole) AS first_word, max(diagonal) FILTER (whole) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole OR (NOT is_base AND share >= {enough})) AS labels, max(share) AS score FROM s GROUP BY doc_id)
