@@ -36,6 +36,7 @@ class Engine:
         self.catalog = Catalog()
         self.version = 0
         self.writer = threading.Lock()
+        self.batches: dict[tuple[str, str], int] = {}  # of streams, the last batch that a table has taken
 
     def register(self, name: str, frame: DataFrame, key: str | None = None) -> None:
         """A table that is only read, for instance Parquet files; `key` is a column without equal values."""
@@ -445,6 +446,22 @@ class Session:
         table.paths.append(path)
         return len(rows)
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds the rows of a DataFrame to a table, whole or not at all: the way to load more than literals can say.
+
+        Columns are taken by name; columns that `rows` lacks are null.  The constraints of INSERT hold.
+        """
+
+        def run() -> None:
+            table = self._writable(name)
+            have = {c.lower() for c in rows.columns}
+            items = [(F.col(f"`{c.name}`") if c.name in have else F.lit(None)).cast(c.type.spark).alias(c.name) for c in table.columns]
+            path = self._stored(rows.select(*items), table.name)
+            self._checked(table, self.spark.read.schema(self.rows(table).schema).parquet(path), self.rows(table))
+            table.paths.append(path)
+
+        self._changing(run, "WRITE")
+
     def _checked(self, table: Table, new: DataFrame, old: DataFrame | None) -> None:
         """Holds new rows against the constraints; `old` are rows that stay beside them."""
         scope = Scope([Source("v", table.name, Relation("", [(c.name, c.type) for c in table.columns]))])
