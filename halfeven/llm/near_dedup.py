@@ -10,8 +10,10 @@
 4.  First every node is compared with the smallest node of each of its buckets (a star, linear in the
     bucket) and linked to the likeliest one.  Then, in buckets that still hold several components, all
     pairs of *different* components are compared, in blocks.  A pair within one component needs no
-    comparison, since its link would not change the result.  No link between components is lost, no
-    bucket is capped, and a large group of copies is settled by its star.
+    comparison, since its link would not change the result.  Pairs live only inside a block's task: a
+    first pass returns the nodes that are in a surviving pair, a second one gets their texts, verifies
+    and returns enough links to connect the block.  No link between components is lost, no bucket is
+    capped, and no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .components import components
 SHINGLE = 5
 #: The limit: NUM / DEN.
 NUM, DEN = 75, 100
-HASHES, ROWS = 128, 4
+HASHES, ROWS = 128, 4  # a band: 4 minima of 16 bits, one long
 BATCH = 16
 #: Probability with which a batch comparison may drop a pair that reaches the limit.
 MISS = 1e-6
@@ -120,7 +122,7 @@ def sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(n, m) * DEN >= NUM * np.maximum(n, m)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
 
 
@@ -152,43 +154,111 @@ def _pairs_of(sizes: np.ndarray, starts: np.ndarray, most: int = 1 << 20) -> Ite
                 yield (s + first).ravel(), (s + second).ravel()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each group of (band, bucket, p, q): of the whole block if p = q, else across the two sides."""
-    need = least_matches()
-    names = ["a", "b"]
-
-    def compare(x: pa.Table) -> Iterator[pa.RecordBatch]:
-        x = x.combine_chunks()
-        key = x.select(["band", "bucket", "p", "q"])
-        band, bucket, p, q = (key.column(k).to_numpy() for k in range(4))
-        edge = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
-        sizes = np.diff(np.append(edge, x.num_rows))
-        ids, n, comp, side = (x.column(c).to_numpy() for c in ("id", "n", "comp", "side"))
-        sig = _matrix(x.column("sig"))
-        for a, b in _pairs_of(sizes, edge):
-            ok = (comp[a] != comp[b]) & sizes_fit(n[a], n[b]) & ((p[a] == q[a]) | (side[a] != side[b]))
-            a, b = a[ok], b[ok]
-            alive, _ = survivors(sig, sig, a, b, need)
-            if len(alive):
-                lo, hi = np.minimum(ids[a[alive]], ids[b[alive]]), np.maximum(ids[a[alive]], ids[b[alive]])
-                both = np.unique(np.stack([lo, hi]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names)
-
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for x in batches:  # rows come sorted by group: hold back the last, unfinished group
-        held.append(x)
-        rows += x.num_rows
-        if rows >= 4 * BLOCK:
-            t = pa.Table.from_batches(held)
-            last = t.slice(t.num_rows - 1).select(["band", "bucket", "p", "q"]).to_pylist()[0]
-            same = np.logical_and.reduce([t.column(k).to_numpy() == v for k, v in last.items()])
-            cut = int(np.argmin(same[::-1])) if not same.all() else t.num_rows
-            yield from compare(t.slice(0, t.num_rows - cut)) if cut < t.num_rows else ()
-            t = t.slice(t.num_rows - cut)
-            held, rows = t.to_batches(), t.num_rows
-    if rows:
-        yield from compare(pa.Table.from_batches(held))
+def _block_pairs(x: dict[str, np.ndarray], sig: np.ndarray, edge: np.ndarray, sizes: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of places, of different components and each in the first band that its two nodes share."""
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _pairs_of(sizes, edge):
+        ok = (x["comp"][a] != x["comp"][b]) & sizes_fit(x["n"][a], x["n"][b]) & ((x["p"][a] == x["q"][a]) | (x["side"][a] != x["side"][b]))
+        a, b = a[ok], b[ok]
+        alive, _ = survivors(sig, sig, a, b, need)
+        a, b = a[alive], b[alive]
+        for at in range(0, len(a), 1 << 16):
+            i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            shared = (sig[i] == sig[j]).reshape(-1, HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1)
+            mine = shared == x["band"][i]
+            first.append(i[mine])
+            second.append(j[mine])
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the given pairs of sets."""
+    if len(i) < 512:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], dtype=np.int64)
+    # many pairs of few sets: count all at once, some thousand shingles at a time
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), dtype=np.float32)  # counts are exact below 2^24, and each part's are below 2^12
+    exact = np.zeros((len(sets), len(sets)), dtype=np.int32)
+    for lo in range(0, int(column[-1]) + 1, 4096):
+        part = slice(*np.searchsorted(column, [lo, lo + 4096]))
+        m = np.zeros((len(sets), 4096), dtype=np.float32)
+        m[row[part], column[part] - lo] = 1
+        np.matmul(m, m.T, out=total)
+        exact += total.astype(np.int32)
+    return exact[i, j].astype(np.int64)
+
+
+def _block_links(ids: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs that reach the limit on full sets, enough to connect what they connect."""
+    common, n = _common(sets, i, j), np.array([len(s) for s in sets])
+    linked = (common > 0) & (common * DEN >= NUM * (n[i] + n[j] - common))
+    root = list(range(len(sets)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    out = []
+    for a, b in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def _blocks(verify: bool):
+    """Compares the nodes of each block: (band, bucket, p, q), of the whole block if p = q, else across its two sides.
+
+    Without `verify` it returns the nodes that are in a surviving pair; with it, when rows carry the texts, the links.
+    However many pairs a block has, it returns no more rows than it has nodes.
+    """
+    key = ["band", "bucket", "p", "q"]
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        x = {c: t.column(c).to_numpy() for c in (*key, "side", "id", "n", "comp")}
+        edge = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[c][1:] != x[c][:-1] for c in key])]))
+        sizes = np.diff(np.append(edge, t.num_rows))
+        i, j = _block_pairs(x, _matrix(t.column("sig")), edge, sizes, least_matches())
+        if not verify:
+            have = np.unique(np.concatenate([i, j]))
+            if len(have):
+                yield t.select([*key, "side", "id", "comp"]).take(pa.array(have)).combine_chunks().to_batches()[0]
+            return
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        texts, links = t.column("text"), []
+        for lo, hi in zip(edge, edge + sizes, strict=True):
+            part = slice(*np.searchsorted(i, [lo, hi]))
+            if part.start < part.stop:
+                sets = [shingle_set(v) for v in texts.slice(lo, hi - lo).to_pylist()]
+                links += _block_links(x["id"][lo:hi], sets, i[part] - lo, j[part] - lo)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([min(k) for k in links], pa.int64()), pa.array([max(k) for k in links], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
+        for batch in batches:  # rows come sorted by block: hold back the last, unfinished one
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows and (rows >= 4 * BLOCK or size >= 1 << 24):
+                t = pa.Table.from_batches(held)
+                same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in key])
+                cut = t.num_rows - (int(np.argmin(same[::-1])) or t.num_rows) if not same.all() else 0
+                if cut:
+                    yield from compare(t.slice(0, cut))
+                    t = t.slice(cut)
+                held, rows, size = t.to_batches(), t.num_rows, 0
+        if rows:
+            yield from compare(pa.Table.from_batches(held))
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,16 +344,18 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         .select("id", "band", "bucket", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("id", "band", "bucket", "comp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
         .join(nodes, "id")
-        .select("band", "bucket", "p", "q", "side", "id", "n", "comp", "sig")
-        .repartition("band", "bucket", "p", "q")
-        .sortWithinPartitions("band", "bucket", "p", "q")
     )
-    crossing = met.mapInArrow(_blocks, "a long, b long").distinct()
-    links = first.unionByName(materialise(verified(crossing, docs), "links"))
+    block_key = ["band", "bucket", "p", "q"]
+    deal = lambda rows, *more: rows.select(*block_key, "side", "id", "n", "comp", "sig", *more).repartition(*block_key).sortWithinPartitions(*block_key)
+    alive = deal(met).mapInArrow(_blocks(False), "band int, bucket long, p int, q int, side int, id long, comp long")
+    alive = materialise(alive, "alive")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(alive.select("id").distinct(), "id", "left_semi")
+    crossing = deal(alive.join(nodes, "id").join(texts, "id"), "text").mapInArrow(_blocks(True), "a long, b long")
+    links = first.unionByName(materialise(crossing.distinct(), "links"))
     final = components(links).withColumnRenamed("id", "rep")
     return (
         members.join(final, "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
