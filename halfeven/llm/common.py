@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DOUBLE = re.compile(r"\s ")
+#: Finds a blank before a space.
+blank_before_space = _DOUBLE.search
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that end a word of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, as a Java pattern.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,6 +78,38 @@ def drop_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Texts go to Python in Arrow batches of some megabytes.  The default of 64 MB, held twice by a task of the JVM and once more
+    by its Python worker, takes a third of a small executor."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
+        if int(spark.conf.get(key).rstrip("b")) > value:
+            spark.conf.set(key, str(value))
+
+
+def tidy(run):
+    """A function for mapInArrow that gives its worker's free memory back to the machine when a task ends.
+
+    Workers live on and take the next operator's tasks; what the allocators keep would add up beside the JVM.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def slices(texts, most: int = 1 << 22):
     """Runs [begin, end) of an Arrow string array whose texts have some megabytes together (or one long text)."""
     import pyarrow.compute as pc

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, small_batches, table, tidy
 from .components import components
 
 SHINGLE = 5
@@ -84,8 +84,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = shingle_set(text.as_py())
             count.append(len(s))
             digest.append(xxh3_128_digest(s.tobytes()))
-            sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "digest", "sig"])
+            sig.append(signature(s).view("<i8") if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sig"])
 
 
 def least_matches(miss: float = MISS) -> list[int]:
@@ -123,7 +123,10 @@ def sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
+    """Signatures as rows of 16-bit minima; a column holds each as 32 bands of 64 bits."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.ascontiguousarray(column.flatten().to_numpy()).view(np.uint16).reshape(-1, HASHES)
 
 
 def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +307,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ends = ends.select("a", "b", F.col("e.id").alias("id"), F.col("e.side").alias("side"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     dealt = texts.join(ends, "id").select("a", "b", "side", "text").repartition("a", "b").sortWithinPartitions("a", "b", "side")
-    return dealt.mapInArrow(_verify, "a long, b long")
+    return dealt.mapInArrow(tidy(_verify), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -313,23 +316,23 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Texts without words have no shingles and are linked with nothing.  Rows that share a doc_id count as one
     document; rows with a null doc_id stay alone, with a null component_id, and are kept.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = materialise(read.mapInArrow(_signatures, "doc_id long, n long, digest binary, sig binary"), "signatures")
+    every = materialise(read.mapInArrow(tidy(_signatures), "doc_id long, n long, digest binary, sig array<long>"), "signatures")
     sets = every.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = materialise(every.select("doc_id", "n", "digest").join(sets, "digest", "left").select("doc_id", "n", "rep"), "members")
     nodes = materialise(
         every.join(sets, (every["digest"] == sets["digest"]) & (F.col("doc_id") == F.col("rep"))).select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id", "n"]),
         "nodes",
     )
-    cut = F.conv(F.hex(F.expr(f"substring(sig, band * {2 * ROWS} + 1, {2 * ROWS})")), 16, -10).cast("long")
-    bands = nodes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1))).alias("band")).select("id", "band", cut.alias("bucket"))
+    bands = nodes.select("id", F.posexplode("sig").alias("band", "bucket"))
     buckets = bands.groupBy("band", "bucket").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialise(bands.join(buckets, ["band", "bucket"]), "buckets")
 
     # a star in every bucket: each node and the smallest one; of a node's stars the likeliest is verified
     star = shared.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    likely = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_star, "a long, b long, matches int")
+    likely = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(_star), "a long, b long, matches int")
     best = likely.groupBy("b").agg(F.max(F.struct("matches", F.negative("a").alias("x"))).alias("m")).select(F.negative("m.x").alias("a"), "b")
     first = materialise(verified(best, docs), "links")
     label = components(first)
@@ -347,10 +350,10 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     block_key = ["band", "bucket", "p", "q"]
     deal = lambda rows, *more: rows.select(*block_key, "side", "id", "n", "comp", "sig", *more).repartition(*block_key).sortWithinPartitions(*block_key)
-    alive = deal(met).mapInArrow(_blocks(False), "band int, bucket long, p int, q int, side int, id long, comp long")
+    alive = deal(met).mapInArrow(tidy(_blocks(False)), "band int, bucket long, p int, q int, side int, id long, comp long")
     alive = materialise(alive, "alive")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(alive.select("id").distinct(), "id", "left_semi")
-    crossing = deal(alive.join(nodes, "id").join(texts, "id"), "text").mapInArrow(_blocks(True), "a long, b long")
+    crossing = deal(alive.join(nodes, "id").join(texts, "id"), "text").mapInArrow(tidy(_blocks(True)), "a long, b long")
     links = first.unionByName(materialise(crossing.distinct(), "links"))
     final = components(links).withColumnRenamed("id", "rep")
     return (
