@@ -8,13 +8,15 @@ the dialect derives.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.session import Engine, Session
-from .sources.tables import KEYS, configured, read
+from .sources.backup import backup, restore
+from .sources.tables import KEYS, configured, read, snapshot_path
 
 #: Fixtures with NULLs, Unicode and ties: name, columns, rows as SQL that both engines read.
 FIXTURES = {
@@ -52,12 +54,16 @@ def fixture_sql(name: str) -> str:
     return f"(SELECT {casts} FROM (VALUES {rows}) v({', '.join(n for n, _ in columns)}))"
 
 
-def session(spark: SparkSession, sf_dir: str) -> Session:
-    """A session over the test tables and the fixtures."""
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def session(spark: SparkSession, sf_dir: str, statement: str | None = None) -> Session:
+    """A session over the test tables and the fixtures, or over those that a statement names (opening a table costs a footer)."""
     engine = Engine(configured(spark))
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    wanted = {*TABLES, *FIXTURES} if statement is None else set(re.findall(r"\w+", statement.lower()))
+    for name in wanted & set(TABLES):
         engine.register(name, read(spark, sf_dir, name), KEYS.get(name))
-    for name in FIXTURES:
+    for name in wanted & set(FIXTURES):
         engine.register(name, fixture(spark, name), "id")
     return engine.session()
 
@@ -277,6 +283,16 @@ def _statistics(s: Session) -> DataFrame:
     return s.query("ANALYZE TABLE facts").select("column_name", "row_count", "null_count", "distinct_count")
 
 
+def _restored(s: Session) -> DataFrame:
+    for t in (*_T, "CREATE VIEW large AS SELECT id, amount FROM invoices WHERE amount > 11.00"):
+        s.execute(t)
+    path = snapshot_path(s.spark, "backup")
+    backup(s.engine, path)
+    other = restore(s.spark, path).session()
+    other.execute("INSERT INTO invoices (id) VALUES (4)")
+    return other.query("SELECT id, amount FROM large")
+
+
 def _streamed(s: Session) -> DataFrame:
     rows = [(r.n_name,) for r in s.stream("SELECT n_name FROM nation ORDER BY n_name LIMIT 3")]
     return s.spark.createDataFrame(rows, "n_name string")
@@ -289,6 +305,7 @@ SCRIPTS.update({
     "sc9_show_columns": (_script(*_T, then="SHOW COLUMNS FROM invoices"), "SELECT * FROM (VALUES ('id', 'BIGINT', FALSE, 1::BIGINT), ('paid', 'BOOLEAN', TRUE, 2), ('amount', 'DECIMAL(8,2)', TRUE, 3)) v(column_name, type, is_nullable, ordinal)"),
     "sc9_show_indexes": (_script(*_T, "CREATE UNIQUE INDEX by_amount ON invoices(amount)", then="SHOW INDEXES FROM invoices"), "SELECT * FROM (VALUES ('invoices', 'primary', 'id', TRUE, TRUE), ('invoices', 'by_amount', 'amount', TRUE, FALSE)) v(table_name, index_name, column_name, is_unique, is_primary)"),
     "sc10_row_cursor": (_streamed, "SELECT n_name FROM nation ORDER BY n_name LIMIT 3"),
+    "sc12_backup_restore": (_restored, "SELECT id::BIGINT AS id, amount::DECIMAL(8,2) AS amount FROM (VALUES (1, 42.7), (3, 12.3), (4, 12.3)) v(id, amount)"),
     "sf24_next_value": (_sequence, "SELECT 8::BIGINT AS next_value"),
     "dd1_create_table": (_script(*_T, then=_ALL), _ROWS("(1, TRUE, 42.7), (2, FALSE, 10), (3, FALSE, 12.3)")),
     "dd2_identity": (_identity, "SELECT * FROM (VALUES (1::BIGINT, 'a'), (2, 'b'), (3, 'c')) v(id, note)"),
@@ -317,7 +334,7 @@ SCRIPTS.update({
 
 def _statement(name: str) -> Callable[[SparkSession, str], DataFrame]:
     statement, _, parameters = STATEMENTS[name]
-    return lambda spark, sf_dir: session(spark, sf_dir).query(statement, parameters)
+    return lambda spark, sf_dir: session(spark, sf_dir, statement).query(statement, parameters)
 
 
 def _scripted(name: str) -> Callable[[SparkSession, str], DataFrame]:
