@@ -38,6 +38,8 @@ BATCH = 16
 MISS = 1e-6
 #: Rows of a bucket that are compared in one block; larger buckets are cut into blocks of this size.
 BLOCK = 4096
+#: Rows of ids (of 8 to 32 bytes) that are broadcast to pick texts, at most.
+MAX_BROADCAST = 500_000
 
 _RNG = np.random.default_rng(20240229)
 _C = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -302,10 +304,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach the limit, from the documents' whole texts."""
+    """The pairs (a, b) of ids whose full shingle sets reach the limit, from the documents' whole texts.
+
+    Few pairs are broadcast, so that only the texts they need are shuffled; beyond MAX_BROADCAST rows the join shuffles.
+    """
     ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("id"), F.lit(1).alias("side")))).alias("e"))
     ends = ends.select("a", "b", F.col("e.id").alias("id"), F.col("e.side").alias("side"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    if pairs.count() <= MAX_BROADCAST // 2:
+        ends = F.broadcast(ends)
     dealt = texts.join(ends, "id").select("a", "b", "side", "text").repartition("a", "b").sortWithinPartitions("a", "b", "side")
     return dealt.mapInArrow(tidy(_verify), "a long, b long")
 
@@ -334,7 +341,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     likely = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(_star), "a long, b long, matches int")
     best = likely.groupBy("b").agg(F.max(F.struct("matches", F.negative("a").alias("x"))).alias("m")).select(F.negative("m.x").alias("a"), "b")
-    first = materialise(verified(best, docs), "links")
+    first = materialise(verified(materialise(best, "likely"), docs), "links")
     label = components(first)
 
     # then all pairs of different components that share a bucket
@@ -352,7 +359,10 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     deal = lambda rows, *more: rows.select(*block_key, "side", "id", "n", "comp", "sig", *more).repartition(*block_key).sortWithinPartitions(*block_key)
     alive = deal(met).mapInArrow(tidy(_blocks(False)), "band int, bucket long, p int, q int, side int, id long, comp long")
     alive = materialise(alive, "alive")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(alive.select("id").distinct(), "id", "left_semi")
+    wanted = alive.select("id").distinct()
+    if alive.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
     crossing = deal(alive.join(nodes, "id").join(texts, "id"), "text").mapInArrow(tidy(_blocks(True)), "a long, b long")
     links = first.unionByName(materialise(crossing.distinct(), "links"))
     final = components(links).withColumnRenamed("id", "rep")
