@@ -11,7 +11,8 @@ from .common import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node joins its larger neighbours to its smallest neighbour (or itself)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+    # written, so that the join with a hub's many neighbours can be split
+    least = materialise(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 

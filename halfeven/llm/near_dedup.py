@@ -37,7 +37,7 @@ BATCH = 16
 #: Probability with which a batch comparison may drop a pair that reaches the limit.
 MISS = 1e-6
 #: Rows of a bucket that are compared in one block; larger buckets are cut into blocks of this size.
-BLOCK = 4096
+BLOCK = 1024
 #: Rows of ids (of 8 to 32 bytes) that are broadcast to pick texts, at most.
 MAX_BROADCAST = 500_000
 
@@ -326,7 +326,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = materialise(read.mapInArrow(tidy(_signatures), "doc_id long, n long, digest binary, sig array<long>"), "signatures")
-    sets = every.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # what is joined back to rows of a hot key is written first: adaptive execution splits such a join only if both sides are plain rows
+    sets = materialise(every.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "sets")
     members = materialise(every.select("doc_id", "n", "digest").join(sets, "digest", "left").select("doc_id", "n", "rep"), "members")
     nodes = materialise(
         every.join(sets, (every["digest"] == sets["digest"]) & (F.col("doc_id") == F.col("rep"))).select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id", "n"]),
@@ -334,7 +335,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     bands = nodes.select("id", F.posexplode("sig").alias("band", "bucket"))
     buckets = bands.groupBy("band", "bucket").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialise(bands.join(buckets, ["band", "bucket"]), "buckets")
+    shared = materialise(bands.join(materialise(buckets, "centers"), ["band", "bucket"]), "buckets")
 
     # a star in every bucket: each node and the smallest one; of a node's stars the likeliest is verified
     star = shared.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
@@ -347,6 +348,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     # then all pairs of different components that share a bucket
     labelled = shared.join(label, "id", "left").select("id", "band", "bucket", "size", F.coalesce("component_id", "id").alias("comp"))
     mixed = labelled.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "bucket")
+    mixed = materialise(mixed, "mixed")
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     met = (
