@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import cut, slices, table
+from .common import encode_parts, slices, small_batches, table, tidy
 
-#: Distinct pieces of text whose ids a worker remembers, at most (about 250 bytes each); beyond it starts anew.
-REMEMBERED = 400_000
+#: Distinct texts and pieces whose ids a worker remembers, about (some 200 bytes each); twice as many with those of the time before.
+#: Workers live on between operators, so this memory adds to whatever runs next.
+REMEMBERED = 200_000
 #: Pieces with more bytes contract all equal pairs of a step at once (see LONG).
 LONG_BYTES = 128
-DUCKDB_MEMORY = "384MB"
+DUCKDB_MEMORY = "192MB"
 
 SHORT = """
 WITH RECURSIVE s(step, w, pos, tok, np, nx) AS (
@@ -83,6 +84,7 @@ class ByteBpe:
         size = max(tokens) + 1
         self._put("vocabulary", pa.table({"id": pa.array(range(size), pa.int32()), "s": pa.array([tokens.get(i, "") for i in range(size)])}))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _put(self, name: str, rows: pa.Table) -> None:
         self.con.register("arriving", rows)
@@ -102,8 +104,8 @@ class ByteBpe:
         """The ids, as little-endian u32, of distinct pieces that are not tokens themselves."""
         out: list = [None] * len(pieces)
         short = [k for k, p in enumerate(pieces) if len(p) <= LONG_BYTES]
-        for at in range(0, len(short), 50_000):
-            part = short[at : at + 50_000]
+        for at in range(0, len(short), 40_000):
+            part = short[at : at + 40_000]
             self._put("pieces", self._rows([pieces[k] for k in part]))
             self._split(out, part, self.con.sql(SHORT).to_arrow_table())
         long = [k for k, p in enumerate(pieces) if len(p) > LONG_BYTES]
@@ -125,31 +127,45 @@ class ByteBpe:
             out[k] = raw[begin:end]
             begin = end
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        parts = [cut(t) for t in texts]
-        heads = [p[0] for p in parts]
-        rest = [p[1:] for p in parts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [*set(heads), *[f" {p}" for p in set().union(*rest) - self.known.keys()]]
+    def _recall(self, texts: list[str]) -> list[str]:
+        """Those of the texts whose ids the worker doesn't remember."""
+        new = []
+        for t in texts:
+            if t not in self.known:
+                if (i := self.older.pop(t, None)) is not None:
+                    self.known[t] = i
+                else:
+                    new.append(t)
+        return new
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct short texts one after another, and how many each has.
+
+        A text is remembered with its ids, and so is each of its pieces; only pieces that are not are contracted.
+        """
+        if len(self.known) > REMEMBERED:  # two generations: what was met in the older one stays
+            self.known, self.older = {}, self.known
+        known, ranks = self.known, self.ranks
+        new = self._recall(texts)
         pieces = list(map(self.pieces, new))
-        ids: dict[str, bytes] = {}
         todo = []
-        for p in set(chain.from_iterable(pieces)):
+        for p in self._recall(list(set(chain.from_iterable(pieces)))):
             raw = p.encode()
-            if (i := self.ranks.get(raw)) is not None:
-                ids[p] = i.to_bytes(4, "little")
+            if (i := ranks.get(raw)) is not None:
+                known[p] = i.to_bytes(4, "little")
             else:
                 todo.append((p, raw))
         if todo:
-            ids.update(zip([p for p, _ in todo], self.contract([raw for _, raw in todo]), strict=True))
-        found = [ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for ps in pieces]
-        n = len(set(heads))
-        first = dict(zip(new[:n], found[:n], strict=True))
-        self.known.update(zip([u[1:] for u in new[n:]], found[n:], strict=True))
-        get = self.known.__getitem__
-        return [np.frombuffer(first[h] + b"".join(map(get, r)), dtype="<i4") for h, r in zip(heads, rest, strict=True)]
+            known.update(zip([p for p, _ in todo], self.contract([raw for _, raw in todo]), strict=True))
+        for t, ps in zip(new, pieces, strict=True):
+            if len(ps) != 1:
+                known[t] = b"".join([known[p] for p in ps])
+        found = [known[t] for t in texts]
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [np.frombuffer(raw, dtype="<i4") for raw in encode_parts(texts, lambda parts, _: self._ids([f" {p}" for p in parts]), self._ids)]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -195,8 +211,9 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
                     ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
 
+    small_batches(docs.sparkSession)
     read = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    return read.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return read.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark, sf_dir):

@@ -81,7 +81,7 @@ def drop_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Texts go to Python in Arrow batches of some megabytes.  The default of 64 MB, held twice by a task of the JVM and once more
     by its Python worker, takes a third of a small executor."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", size >> 11)):
         if int(spark.conf.get(key).rstrip("b")) > value:
             spark.conf.set(key, str(value))
 
@@ -134,3 +134,39 @@ def cut(text: str) -> list[str]:
         return text.split(" ") if text[:1] != " " else ["", *text[1:].split(" ")]
     first, *rest = re.split(r"(?<=\S)(?= )", text)
     return [first, *[x[1:] for x in rest]]
+
+
+def encode_parts(texts: list[str], parts_of, heads_of) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit integers, from those of its distinct parts.
+
+    `parts_of(parts, their bytes)` gives (ids, lengths) of a space and each part, in turn; `heads_of(heads)` those of the
+    texts' first parts.  Splitting, finding equal parts and putting the ids together run on whole arrays.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    plain = [not t.startswith(" ") and _DOUBLE.search(t) is None for t in texts]
+    order = [k for k, p in enumerate(plain) if p] + [k for k, p in enumerate(plain) if not p]
+    n = sum(plain)
+    split = pc.split_pattern(pa.array([texts[k] for k in order[:n]], pa.large_string()), " ")
+    others = [cut(texts[k]) for k in order[n:]]
+    sizes = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(o) for o in others], dtype=np.int64)]).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    values = pa.concat_arrays([split.flatten(), pa.array([p for o in others for p in o], pa.large_string())])
+    coded = values.dictionary_encode()
+    place = coded.indices.to_numpy().astype(np.int64)
+    ids, lengths = parts_of(coded.dictionary.to_pylist(), pc.binary_length(coded.dictionary).to_numpy().astype(np.int64))
+    head_ids, head_lengths = heads_of(values.take(pa.array(first)).to_pylist())
+    place[first] = len(lengths) + np.arange(len(texts))
+    pool, lengths = np.concatenate([ids, head_ids]), np.concatenate([lengths, head_lengths])
+    starts = np.cumsum(lengths) - lengths
+    each = lengths[place]
+    ends = np.cumsum(each)
+    raw = pool[np.repeat(starts[place] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    out: list = [b""] * len(texts)
+    begin = 0
+    for k, end in zip(order, (ends[first + sizes - 1] * 4).tolist() if len(texts) else (), strict=True):
+        out[k] = raw[begin:end]
+        begin = end
+    return out
