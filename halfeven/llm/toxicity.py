@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table
+from .common import materialise, slices, small_batches, table, tidy
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -126,9 +126,10 @@ def _fit(doc: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, kept: int = KEPT, smoothing: float = 1.0) -> Model:
     """Fits the classifier.  Without labelled rows of both classes it is a constant score of the toxic share (0 of none)."""
+    small_batches(docs.sparkSession)
     rows = materialise(training_rows(docs, labels, max_train), "training")
     # one row a bucket: bounded by 2^BITS whatever the corpus
-    counts = rows.mapInArrow(_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.mapInArrow(tidy(_counts), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, kept: in
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), lists], ["toxic", "columns"])
 
     # at most max_train rows of at most `kept` columns
-    sample = rows.mapInArrow(present, "toxic int, columns array<int>").toArrow()
+    sample = rows.mapInArrow(tidy(present), "toxic int, columns array<int>").toArrow()
     lists = sample.column("columns").combine_chunks()
     y = sample.column("toxic").to_numpy().astype(float)
     doc = np.repeat(np.arange(len(y)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int))
