@@ -14,7 +14,8 @@ A string of L bytes that starts at two places is found in three steps.
 3.  Removal.  Marked windows come back to their text, and the bytes that any of them covers go.
 
 Equal texts are one text in steps 1 and 2; a text of L or more bytes that has an equal is repeated as a
-whole.  A bucket with more than `hot` anchors is not gathered: its windows are counted one by one by
+whole.  Copies of texts that very many rows have (found by a frequent-items sketch, counted exactly and
+broadcast) never leave the task that reads them.  A bucket with more than `hot` anchors is not gathered: its windows are counted one by one by
 their digest, with partial aggregation, so no task gets a bucket that grows with the corpus.
 """
 
@@ -28,12 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, small_batches, table, tidy
 
 LENGTH = 200
-GRAM = 64
+GRAM = 32
 #: Anchors of one hash that are compared in one task, at most (each brings some 300 bytes).
 HOT = 20_000
+#: Texts that are settled where they are read, at most: any that more than 1/4096 of the rows have.
+HEAVY = 4096
+#: Tasks that one window's occurrences are dealt to.
+SALTS = 16
 #: Bytes of text or surroundings that numpy holds at once, about.
 PIECE = 1 << 18
 
@@ -287,41 +292,56 @@ class Repeats:
         doc_id.  Repeated rows are copies of each other (with keep="first" of rows with one id all stay); null ids are
         ordinary.  An empty table gives no rows.  Columns besides doc_id and text are ignored.
         """
+        small_batches(docs.sparkSession)
         text = F.coalesce(F.col("text"), F.lit(""))
         read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text", F.octet_length("text")))
-        places = read.select("text_key", "text").where(F.octet_length("text") >= self.length).mapInArrow(self._anchors, "h long, text_key long, place long")
+        digests = materialise(read.select("doc_id", "text_key", F.octet_length("text").alias("size")).where(f"size >= {self.length}"), "digests")
+        copies_of = lambda rows: rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("texts"))
+        groups = copies_of(digests)
+        # texts that very many rows have are settled where they are read: at most HEAVY keys, broadcast
+        listed = digests.agg(F.expr(f"approx_top_k(text_key, {HEAVY}, {HEAVY})").alias("top")).select(F.explode("top.item").alias("text_key"))
+        heavy = materialise(copies_of(digests.join(F.broadcast(listed), "text_key")).where("texts > 1").select("text_key", F.col("first_id").alias("heavy_id"), F.lit(True).alias("heavy")), "heavy")
+        tagged = read.join(F.broadcast(heavy), "text_key", "left").withColumn("copy", F.col("heavy").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("heavy_id")))
+        short = F.octet_length("text") < self.length
+        settled = tagged.where(short | F.col("copy"))
+        rest = tagged.where(~(short | F.col("copy"))).select("doc_id", "text_key", "text")
+
+        places = rest.select("text_key", "text").mapInArrow(tidy(self._anchors), "h long, text_key long, place long")
         name = F.xxhash64("text_key", "place")
         counted = places.withColumn("name", name).groupBy("h").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count(F.lit(1)).alias("n"))
         repeated = materialise(counted.where("lo != hi").select("h", (F.col("n") > self.hot).alias("hot")), "anchors")
-        listed = places.join(repeated, "h").groupBy("text_key").agg(
+        where = places.join(repeated, "h").groupBy("text_key").agg(
             F.collect_set(F.when(~F.col("hot"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("hot"), F.col("place"))).alias("hot_places")
         )
-        # of equal texts one stands for all: a text that a third of all rows share sends its surroundings once
-        first = read.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
-        chosen = listed.join(first, "text_key")
-        found = read.join(chosen, "text_key").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_key", "text", "places", "hot_places")
+        # of equal texts one stands for all
+        chosen = where.join(groups.select("text_key", "first_id"), "text_key")
+        found = rest.join(chosen, "text_key").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_key", "text", "places", "hot_places")
         copies = (
-            found.mapInArrow(self._surroundings, "h long, text_key long, first long, around binary")
+            found.mapInArrow(tidy(self._surroundings), "h long, text_key long, first long, around binary")
             .repartition("h")
             .sortWithinPartitions("h", "text_key", "first")
-            .mapInArrow(self._copies, "text_key long, start long, end long")
+            .mapInArrow(tidy(self._copies), "text_key long, start long, end long")
         )
         if repeated.where("hot").take(1):
             copies = copies.unionByName(self._hot_copies(found))
         marks = copies.groupBy("text_key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-        equal = read.groupBy("text_key").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("first_id"), F.max(F.octet_length("text")).alias("size"))
-        equal = equal.where(f"texts > 1 and size >= {self.length}").select("text_key", "first_id")
-        marks = marks.join(equal.withColumn("equal", F.lit(True)), "text_key", "full")
+        equal = groups.where("texts > 1").select("text_key", "first_id", F.lit(True).alias("equal"))
+        marks = marks.join(equal, "text_key", "full")
         whole = F.col("equal") if self.keep == "none" else F.col("equal") & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
-        joined = read.join(marks, "text_key", "left").select("doc_id", "text_key", "text", "starts", "ends", F.coalesce(whole, F.lit(False)).alias("whole"))
-        return joined.mapInArrow(self._cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+        joined = rest.join(marks, "text_key", "left").select("doc_id", "text_key", "text", "starts", "ends", F.coalesce(whole, F.lit(False)).alias("whole"))
+        none = F.lit(None).cast("array<long>")
+        settled = settled.select("doc_id", "text_key", "text", none.alias("starts"), none.alias("ends"), F.col("copy").alias("whole"))
+        shape = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+        return joined.mapInArrow(tidy(self._cut), shape).unionByName(settled.mapInArrow(tidy(self._cut), shape))
 
     def _hot_copies(self, found: DataFrame) -> DataFrame:
         """Windows of hot anchors, one row each: of a digest with several windows all but the first are later copies."""
-        windows = found.mapInArrow(self._windows, "one long, two long, text_key long, start long")
+        windows = found.mapInArrow(tidy(self._windows), "one long, two long, text_key long, start long")
         at = F.struct("text_key", "start")
         sets = windows.groupBy("one", "two").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo != hi")
-        marked = windows.join(sets, ["one", "two"])
+        # a window that very many texts share is dealt to several tasks
+        salted = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = windows.withColumn("salt", F.pmod(F.xxhash64("text_key", "start"), F.lit(SALTS)).cast("int")).join(salted, ["one", "two", "salt"])
         if self.keep == "first":
             marked = marked.where(at != F.col("lo"))
         return marked.select("text_key", "start", (F.col("start") + self.length).alias("end"))
