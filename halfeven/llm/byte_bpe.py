@@ -23,7 +23,7 @@ from .common import encode_parts, slices, small_batches, table, tidy
 
 #: Distinct texts and pieces whose ids a worker remembers, about (some 200 bytes each); twice as many with those of the time before.
 #: Workers live on between operators, so this memory adds to whatever runs next.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Pieces with more bytes contract all equal pairs of a step at once (see LONG).
 LONG_BYTES = 128
 DUCKDB_MEMORY = "192MB"
@@ -68,24 +68,39 @@ class ByteBpe:
     """A tokenizer from a file of ranks (base64 token and rank a line) and a pattern."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        import duckdb
         import regex
 
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pieces = regex.compile(pattern).findall
         self.bytes = np.array([self.ranks[bytes([k])] for k in range(256)], dtype=np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
+        self.opened = None
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], m) for t, m in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
-        self._put("merges", pa.table({"l": left, "r": right, "m": rank.cast(pa.int64())}))
+        self.merges = pa.table({"l": left, "r": right, "m": rank.cast(pa.int64())})
         # bytes stand as the characters U+0000 to U+00FF; ids that no token has are empty
         tokens = {i: t.decode("latin-1") for t, i in self.ranks.items()}
         size = max(tokens) + 1
-        self._put("vocabulary", pa.table({"id": pa.array(range(size), pa.int32()), "s": pa.array([tokens.get(i, "") for i in range(size)])}))
+        self.vocabulary = (pa.table({"id": pa.array(range(size), pa.int32()), "s": pa.array([tokens.get(i, "") for i in range(size)])}))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @property
+    def con(self):
+        """The task's DuckDB; close() gives its memory back."""
+        import duckdb
+
+        if self.opened is None:
+            self.opened = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": tempfile.gettempdir() + "/bpe-spill"})
+            self._put("merges", self.merges)
+            self._put("vocabulary", self.vocabulary)
+        return self.opened
+
+    def close(self) -> None:
+        if self.opened is not None:
+            self.opened.close()
+            self.opened = None
+
     def _put(self, name: str, rows: pa.Table) -> None:
         self.con.register("arriving", rows)
         self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arriving")
@@ -200,16 +215,19 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(ranks_path, pattern)
         number = [str(i) for i in range(max(bpe.ranks.values()) + 1)]
-        for batch in batches:
-            for a, b in slices(batch.column("text")):
-                ids = bpe.encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
-                joined = [hashlib.sha256(",".join([number[i] for i in x.tolist()]).encode()).hexdigest() for x in ids]
-                back = [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x) for x in ids]]), pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), lists, pa.array(joined), pa.array(back)],
-                    ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
-                )
+        try:
+            for batch in batches:
+                for a, b in slices(batch.column("text")):
+                    ids = bpe.encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
+                    joined = [hashlib.sha256(",".join([number[i] for i in x.tolist()]).encode()).hexdigest() for x in ids]
+                    back = [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x) for x in ids]]), pa.int32()), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), lists, pa.array(joined), pa.array(back)],
+                        ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+                    )
+        finally:
+            bpe.close()
 
     small_batches(docs.sparkSession)
     read = docs.selectExpr("cast(doc_id as long) as doc_id", "text")

@@ -57,11 +57,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` as Parquet to the shared scratch folder and reads it back.
 
     This cuts the lineage: a lost executor costs no earlier stage, and what was written
-    does not change when a task is run again.  The folder goes when the application ends.
+    does not change when a task is run again.  Rows are rebalanced first, so that a stage of many
+    tasks with little output each leaves few files.  The folder goes when the application ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(forget_at_exit(spark, path))
 
 
