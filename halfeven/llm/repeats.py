@@ -188,6 +188,7 @@ class Repeats:
     def _found(self, batches: Iterator[pa.RecordBatch], column: str):
         """Anchors of the texts whose places are listed: key, data, and per anchor its text's row, place, first and last window, and the base of its text in data."""
         for batch in batches:
+            batch = batch.filter(batch.column("stands"))
             keys = batch.column("text_key").to_numpy()
             lists = batch.column(column).to_pylist()
             for data, starts, rows, offsets in _pieces(_texts(batch.column("text")), self.length):
@@ -315,7 +316,8 @@ class Repeats:
         )
         # of equal texts one stands for all
         chosen = where.join(groups.select("text_key", "first_id"), "text_key")
-        found = rest.join(chosen, "text_key").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_key", "text", "places", "hot_places")
+        # (told apart in Python: as a condition it would join the key, and the texts would be shuffled once more for the last join)
+        found = rest.join(chosen, "text_key").select("doc_id", "text_key", "text", "places", "hot_places", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("stands"))
         copies = (
             found.mapInArrow(tidy(self._surroundings), "h long, text_key long, first long, around binary")
             .repartition("h")
