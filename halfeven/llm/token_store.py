@@ -22,20 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget_at_exit, scratch_path, slices, table
+from .common import blank_before_space, encode_parts, forget_at_exit, scratch_path, slices, small_batches, table, tidy
 
 MAGIC, BLOCK = b"DAC1", 512
 #: Ids of a segment, about; a document is never cut.
 SEGMENT = 1 << 20
-#: Distinct parts of text whose ids a worker remembers, about (some 200 bytes each); beyond it starts anew.
-REMEMBERED = 600_000
+#: Distinct parts of text whose ids a worker remembers, about (some 200 bytes each); twice as many with those of the time before.
+REMEMBERED = 250_000
 END = 0
 
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Level widths with the fewest bits in all (chunks and continuation bits), by dynamic programming."""
     bits = max(1, int(ids.max(initial=0)).bit_length())
-    at_least = [len(ids)] + [int((ids >= np.uint64(1) << np.uint64(b)).sum()) for b in range(1, bits)]  # ids that need more than b bits
+    if bits <= 20:
+        larger = np.cumsum(np.bincount(ids, minlength=1 << bits)[::-1])[::-1]
+        at_least = [len(ids)] + [int(larger[1 << b]) for b in range(1, bits)]  # ids that need more than b bits
+    else:
+        at_least = [len(ids)] + [int((ids >> np.uint32(b) > 0).sum()) for b in range(1, bits)]
     cost, choice = [0.0] * (bits + 1), [0] * (bits + 1)
     for b in range(bits - 1, -1, -1):
         options = [(at_least[b] * (w + (b + w < bits)) + cost[b + w] + 64 * (at_least[b] // BLOCK if b + w < bits else 0), w) for w in range(1, bits - b + 1)]
@@ -141,7 +145,7 @@ class Dac:
 
 
 class _Encoder:
-    """Ids of texts from the tokenizers library; equal parts of text are encoded once while they are remembered."""
+    """Ids of texts from the tokenizers library; equal parts of the texts given at once are encoded once."""
 
     def __init__(self, path: str):
         import os
@@ -152,40 +156,56 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)  # a character stands for a byte
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)  # a character stands for a byte
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encodes parts with a space before each.  Some thousand at a time are one text, cut again by the tokens' widths in bytes."""
-        known = self.known
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for f in found for i in f), "<u4", int(lengths.sum())), lengths
+
+    def parts(self, parts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and each part, and how many each has; the worker remembers those of late."""
+        if len(self.known) > REMEMBERED:  # two generations: what was met in the older one stays
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for k, p in enumerate(parts):
+            if p not in known:
+                if (i := older.pop(p, None)) is not None:
+                    known[p] = i
+                else:
+                    new.append(k)
+        ids, lengths = self._encoded([parts[k] for k in new], sizes[new])
+        raw, stops = ids.tobytes(), (np.cumsum(lengths) * 4).tolist()
+        known.update(zip([parts[k] for k in new], map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        found = list(map(known.__getitem__, parts))
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _encoded(self, parts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, of so many bytes, with a space before each.  Some thousand at a time are one text, cut again by the tokens' widths in bytes."""
+        ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for at in range(0, len(parts), 4096):
-            some = [p for p in parts[at : at + 4096] if p and not p[-1].isspace()]
-            alone = [p for p in parts[at : at + 4096] if not p or p[-1].isspace()]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids if some else [], dtype="<u4")
-            ends, after = np.cumsum(self.width[ids]), np.cumsum([1 + len(p.encode()) for p in some])
-            places = np.searchsorted(ends, after) + 1
-            if some and (places[-1] != len(ids) or (ends[places - 1] != after).any()):
-                alone, some = [*some, *alone], []
-            raw, begin = ids.tobytes(), 0
-            for p, stop in zip(some, (places * 4).tolist() if some else (), strict=True):
-                known[p] = raw[begin:stop]
-                begin = stop
-            known.update(zip(alone, self._each([f" {p}" for p in alone]), strict=True))
+            some = parts[at : at + 4096]
+            text = " " + " ".join(some)
+            if blank_before_space(text + " ") is None:
+                got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+                after = np.cumsum(sizes[at : at + 4096] + 1)
+                ends = np.cumsum(self.width[got])
+                places = np.searchsorted(ends, after) + 1
+                if places[-1] == len(got) and (ends[places - 1] == after).all():
+                    ids.append(got)
+                    lengths.append(np.diff(places, prepend=0))
+                    continue
+            got, n = self.each([f" {p}" for p in some])  # blank parts, or parts that end in a blank
+            ids.append(got)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian u32."""
-        parts = [cut(t) for t in texts]
-        heads = self._each([p[0] for p in parts])
-        rest = [p[1:] for p in parts]
-        wanted = set().union(*rest)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self._learn(list(wanted - self.known.keys()))
-        get = self.known.__getitem__
-        return [h + b"".join(map(get, r)) for h, r in zip(heads, rest, strict=True)]
+        return encode_parts(texts, self.parts, self.each)
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -222,7 +242,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, segment: int =
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 21):
+            for a, b in slices(batch.column("text"), 24 << 20):
                 ids = _ids(tokenizer_path, [t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
                 for doc, x in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), ids, strict=True):
                     doc_ids.append(doc)
@@ -233,8 +253,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, segment: int =
         if doc_ids:
             yield flush()
 
+    small_batches(docs.sparkSession, 32 << 20)
     read = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    read.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SEGMENTS).write.parquet(path)
+    read.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(tidy(run), SEGMENTS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -254,7 +275,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(first.as_py() + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = segments.join(F.broadcast(starts), "part").select("doc_ids", "lengths", (F.col("first_token") + F.col("offset")).alias("first"), "data")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_token(spark: SparkSession, path: str, doc_id: int, k: int) -> int | None:
