@@ -87,15 +87,15 @@ def address(docs: DataFrame) -> DataFrame:
 def update_ledger(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """New ledger rows (blob, rule_version, findings) for the blobs of `docs` that `ledger` has not seen with this rule version.
 
-    One row of each unseen blob is scanned: the one with the smallest doc_id (rows with equal text and id are interchangeable).
+    One text of each unseen blob is scanned, however often the blob repeats and whatever the ids of its rows.
     """
-    unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("first_id"))
+    unseen = paths.select("blob").distinct()
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    texts = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    chosen = texts.join(unseen.withColumnRenamed("blob", "wanted"), (F.col("blob") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    found = find(chosen.select("blob", "text"), rules).withColumn("findings", F.array_distinct("findings"))
-    return unseen.select("blob").join(found, "blob", "left").select(
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    # copies go where they are read, so a hot text is shuffled once a task
+    found = find(texts.dropDuplicates(["blob"]).join(unseen, "blob", "left_semi").select("blob", "text"), rules)
+    return unseen.join(found, "blob", "left").select(
         "blob", F.lit(version).alias("rule_version"), F.coalesce("findings", F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")).alias("findings")
     )
 

@@ -177,6 +177,20 @@ def test_secret_own_kinds_and_edges(spark):
     assert secret_scan.secret_scan(frame(spark, []).limit(0))[0].count() == 0
 
 
+def test_secrets_of_repeated_rows_are_scanned_once(spark):
+    """Whole rows that repeat, and texts that only rows without an id have."""
+    rows = [(1, "x token=abcdefgh y")] * 2 + [(2, TEXTS[0])] * 3 + [(3, TEXTS[0])] + [(None, TEXTS[2])] * 3 + [(None, None)] * 2
+    found, ledger = secret_scan.secret_scan(frame(spark, rows))
+    got = sorted((str(r.doc_id), r.n_assign, r.n_hex, r.spans, r.base_sha256) for r in secret_scan.digest(found).collect())
+    want = []
+    for d, t in rows:
+        spans = brute.secrets(t)
+        text = ",".join(f"{brute.SECRETS[k][0]}:{a}:{b}" for a, k, b in spans)
+        want.append((str(d), sum(k == 0 for _, k, _ in spans), sum(k == 2 for _, k, _ in spans), text, brute.sha(text.encode())))
+    assert got == sorted(want) and ("1", 1, 0, "assign:2:16", brute.sha(b"assign:2:16")) in got
+    assert ledger.count() == 4
+
+
 # URL filter
 
 
