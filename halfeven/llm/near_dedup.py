@@ -328,9 +328,12 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     every = materialise(read.mapInArrow(tidy(_signatures), "doc_id long, n long, digest binary, sig array<long>"), "signatures")
     # what is joined back to rows of a hot key is written first: adaptive execution splits such a join only if both sides are plain rows
     sets = materialise(every.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "sets")
-    members = materialise(every.select("doc_id", "n", "digest").join(sets, "digest", "left").select("doc_id", "n", "rep"), "members")
+    members = materialise(every.select("doc_id", "n", "digest").join(sets, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     nodes = materialise(
-        every.join(sets, (every["digest"] == sets["digest"]) & (F.col("doc_id") == F.col("rep"))).select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id", "n"]),
+        every.join(sets, (every["digest"] == sets["digest"]) & (F.col("doc_id") == F.col("rep")))
+        .select(F.col("doc_id").alias("id"), "n", "sig", every["digest"])
+        .dropDuplicates(["id", "digest"])  # an id has a node for each of its sets
+        .drop("digest"),
         "nodes",
     )
     bands = nodes.select("id", F.posexplode("sig").alias("band", "bucket"))
@@ -360,17 +363,21 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     block_key = ["band", "bucket", "p", "q"]
     deal = lambda rows, *more: rows.select(*block_key, "side", "id", "n", "comp", "sig", *more).repartition(*block_key).sortWithinPartitions(*block_key)
     alive = deal(met).mapInArrow(tidy(_blocks(False)), "band int, bucket long, p int, q int, side int, id long, comp long")
-    alive = materialise(alive, "alive")
+    alive = materialise(alive.distinct(), "alive")  # an id with several nodes may come more than once
     wanted = alive.select("id").distinct()
     if alive.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
     crossing = deal(alive.join(nodes, "id").join(texts, "id"), "text").mapInArrow(tidy(_blocks(True)), "a long, b long")
     links = first.unionByName(materialise(crossing.distinct(), "links"))
+    # an id connects the nodes that its texts are in
+    least = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    ties = members.join(least, "doc_id").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    links = links.unionByName(materialise(ties, "ties"))
     final = components(links).withColumnRenamed("id", "rep")
     return (
         members.join(final, "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 

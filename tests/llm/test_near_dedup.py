@@ -75,6 +75,19 @@ def test_nulls_repeats_empty_tables_and_other_columns(spark):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("block, most", [(1024, 500_000), (1, 0)])
+def test_every_text_of_a_repeated_id_is_linked(spark, monkeypatch, block, most):
+    """Texts under one id whose sets are of one size: each has its own near or exact copies, or none."""
+    monkeypatch.setattr(near_dedup, "MAX_BROADCAST", most)
+    text = lambda k, more="": " ".join(f"t{k}w{i}" for i in range(30)) + more
+    rows = [(10, text(k)) for k in range(6)] + [(10, text(0))] + [(20 + k, text(k, " end")) for k in range(5)]
+    rows += [(40, text(7)), (41, text(7)), (41, text(8)), (42, text(8)), (41, ""), (50, text(9)), (51, text(9)), (51, " "), (60, "")]
+    want = {10: 10, **{20 + k: 10 for k in range(5)}, 40: 40, 41: 40, 42: 40, 50: 50, 51: 50, 60: 60}
+    found = near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+    assert len(found) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert {(r.doc_id, r.component_id) for r in found} == set(want.items())
+
+
 def test_thresholds_are_posterior_bounds():
     """The chance that a pair at the limit passes a batch is at least 1 - MISS, up to the prior's extra place."""
     from math import comb
