@@ -282,8 +282,8 @@ def _plan(s: Session) -> DataFrame:
     return plan.selectExpr("max(rows) AS n", "count_if(operator = 'Filter') > 0 AS filters")
 
 
-def _statistics(s: Session) -> DataFrame:
-    return s.query("ANALYZE TABLE facts").select("column_name", "row_count", "null_count", "distinct_count")
+def _statistics(table: str) -> Callable[[Session], DataFrame]:
+    return lambda s: s.query(f"ANALYZE TABLE {table}").select("column_name", "row_count", "null_count", "distinct_count")
 
 
 def _restored(s: Session) -> DataFrame:
@@ -316,7 +316,8 @@ SCRIPTS.update({
     "dd4_views": (_script(*_T, "CREATE VIEW a AS SELECT id FROM invoices WHERE amount > 11.00", "CREATE VIEW b AS SELECT id FROM a", "DROP VIEW b", then="SELECT id FROM a"), "SELECT unnest([1, 3])::BIGINT AS id"),
     "dd5_rename": (_script(*_T, "ALTER TABLE invoices RENAME COLUMN amount TO total", "ALTER TABLE invoices RENAME TO bills", then="SELECT id, total FROM bills WHERE total > 11.00"), "SELECT id::BIGINT AS id, total::DECIMAL(8,2) AS total FROM (VALUES (1, 42.7), (3, 12.3)) v(id, total)"),
     "dd6_sequences": (_script("CREATE SEQUENCE a", "CREATE SEQUENCE b START WITH -4 INCREMENT BY -2", "DROP SEQUENCE a", then="SELECT NEXT VALUE FOR b"), "SELECT -4::BIGINT AS next_value"),
-    "dd7_analyze": (_statistics, "SELECT * FROM (VALUES ('id', 5::BIGINT, 0::BIGINT, 5::BIGINT), ('grp', 5, 0, 3), ('nullable_grp', 5, 1, 2), ('label', 5, 1, 4), ('amount', 5, 2, 3)) v(column_name, row_count, null_count, distinct_count)"),
+    "dd7_analyze": (_statistics("facts"), "SELECT * FROM (VALUES ('id', 5::BIGINT, 0::BIGINT, 5::BIGINT), ('grp', 5, 0, 3), ('nullable_grp', 5, 1, 2), ('label', 5, 1, 4), ('amount', 5, 2, 3)) v(column_name, row_count, null_count, distinct_count)"),
+    "dd7_analyze_orders": (_statistics("orders"), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count FROM {O}" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))),
     "dd8_show": (_script("CREATE TABLE plain", then="SHOW COLUMNS FROM plain"), "SELECT * FROM (VALUES ('key', 'BIGINT', FALSE, 1::BIGINT), ('value', 'BIGINT', TRUE, 2)) v(column_name, type, is_nullable, ordinal)"),
     "dd9_explain": (_plan, f"SELECT count(*) AS n, TRUE AS filters FROM {N} WHERE n_regionkey = 2"),
     "dd10_time_zone": (_script("SET TIME ZONE 'Asia/Tokyo'", then="SELECT id, CAST(CAST(seen AS TIMESTAMP(6) WITH TIME ZONE) AS VARCHAR(40)) AS s FROM moments"), f"SELECT id, strftime(seen - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S.%f') || '+00:00' AS s FROM {_M}"),

@@ -585,7 +585,7 @@ class Session:
         return self.spark.createDataFrame(rows, "column_name string, type string, is_nullable boolean, ordinal bigint")
 
     def _analyze(self, p: Parser) -> DataFrame:
-        """Statistics in one aggregation: rows, and per column nulls, distinct values (estimated to 2 %), least and greatest."""
+        """Statistics in one aggregation: rows, and per column nulls, distinct values (exact), least and greatest."""
         self._need("ADMIN")
         p.take("table")
         table = self.catalog.table(p.name())
@@ -595,7 +595,7 @@ class Session:
         for k, c in enumerate(table.columns):
             v = F.col(c.name)
             text = (lambda x: x.cast("string")) if c.type.name != "time" else (lambda x: F.lit(None).cast("string"))
-            aggs += [F.count(v).alias(f"c{k}"), F.approx_count_distinct(v, 0.02).alias(f"d{k}"), text(F.min(v)).alias(f"lo{k}"), text(F.max(v)).alias(f"hi{k}")]
+            aggs += [F.count(v).alias(f"c{k}"), F.count_distinct(v).alias(f"d{k}"), text(F.min(v)).alias(f"lo{k}"), text(F.max(v)).alias(f"hi{k}")]
         got = rows.agg(*aggs).first()
         table.statistics = [(table.name, c.name, got["n"], got["n"] - got[f"c{k}"], got[f"d{k}"], got[f"lo{k}"], got[f"hi{k}"]) for k, c in enumerate(table.columns)]
         return self.spark.createDataFrame(table.statistics, "table_name string, column_name string, row_count bigint, null_count bigint, distinct_count bigint, min_value string, max_value string")

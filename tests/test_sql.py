@@ -153,3 +153,10 @@ def test_command_line(db):
     assert len(statements(script)) == 5
     assert not run(db, script, out)
     assert out.getvalue().splitlines()[:4] == ["OK", "OK 1", "1\ta;b", "ROWS 1"]
+
+
+def test_analyze_counts_distinct_values_exactly(spark):
+    engine = Engine(spark)
+    engine.register("many", spark.range(5000).selectExpr("id", "id % 1500 AS a", "IF(id % 3 = 0, NULL, CAST(id % 2400 AS STRING)) AS b", "id % 1024 AS c"), "id")
+    got = [r[1:5] for r in engine.session().query("ANALYZE TABLE many").collect()]
+    assert got == [("id", 5000, 0, 5000), ("a", 5000, 0, 1500), ("b", 5000, 1667, 1600), ("c", 5000, 0, 1024)]
