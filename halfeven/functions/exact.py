@@ -16,8 +16,27 @@ from .types import BIGINT, SqlType
 
 @dataclass(frozen=True)
 class Typed:
+    """SQL text, its type, and whether its evaluation is sure not to raise."""
+
     sql: str
     type: SqlType
+    safe: bool = False
+
+
+#: Operands up to this many characters stand wherever they are needed; longer ones are bound to a name once.
+INLINE = 600
+
+
+def bound(body, *operands: Typed) -> Typed:
+    """body(*operands), where the body writes its operands several times.
+
+    Long operands are bound to a lambda's variable, so that the text of nested expressions grows with their number only.
+    """
+    if sum(len(x.sql) for x in operands) <= INLINE:
+        return body(*operands)
+    named = ", ".join(f"{x.sql} AS x{k}" for k, x in enumerate(operands))
+    out = body(*[Typed(f"v.x{k}", x.type, x.safe) for k, x in enumerate(operands)])
+    return Typed(f"transform(array(struct({named})), v -> {out.sql})[0]", out.type, out.safe)
 
 
 def fail(state: str, message: str) -> str:
@@ -85,6 +104,10 @@ def units_text(sql: str, scale: int) -> str:
 
 
 def divide(x: Typed, y: Typed) -> Typed:
+    return bound(_divide, x, y)
+
+
+def _divide(x: Typed, y: Typed) -> Typed:
     to = ty.arithmetic("/", x.type, y.type)
     if to == BIGINT:
         zero = f"CASE WHEN {y.sql} = 0 AND {x.sql} IS NOT NULL THEN CAST({fail(DIVISION, 'division by zero')} AS BIGINT) ELSE {x.sql} div nullif({y.sql}, 0) END"
@@ -94,6 +117,10 @@ def divide(x: Typed, y: Typed) -> Typed:
 
 
 def remainder(x: Typed, y: Typed) -> Typed:
+    return bound(_remainder, x, y)
+
+
+def _remainder(x: Typed, y: Typed) -> Typed:
     to = ty.arithmetic("%", x.type, y.type)
     body = f"{x.sql} % nullif({y.sql}, 0)" if to == BIGINT else f"CAST(CAST({x.sql} AS DECIMAL(38,{x.type.digits[1]})) % nullif(CAST({y.sql} AS DECIMAL(38,{y.type.digits[1]})), 0) AS {to.spark})"
     return Typed(f"(CASE WHEN {y.sql} = 0 AND {x.sql} IS NOT NULL THEN CAST({fail(DIVISION, 'division by zero')} AS {to.spark}) ELSE {body} END)", to)
@@ -120,6 +147,10 @@ def round_to(x: Typed, k: int) -> Typed:
 
 
 def truncate(x: Typed, k: int) -> Typed:
+    return bound(lambda v: _truncate(v, k), x)
+
+
+def _truncate(x: Typed, k: int) -> Typed:
     to = ty.rounded(x.type, k)
     if to == BIGINT or k >= x.type.b:
         return x if to == BIGINT else fitted(x.sql, to)
@@ -130,8 +161,8 @@ def truncate(x: Typed, k: int) -> Typed:
 def to_number(x: Typed, to: SqlType) -> Typed:
     """CAST between numbers: a scale that shrinks rounds half-even; a fraction that BIGINT would lose raises."""
     if to == BIGINT and x.type.name == "decimal":
-        lost = f"{x.sql} <> CAST({x.sql} AS BIGINT)"
-        return Typed(f"(CASE WHEN {lost} THEN CAST({fail(OUT_OF_RANGE, 'the fraction would be lost')} AS BIGINT) ELSE CAST({x.sql} AS BIGINT) END)", to)
+        lost = fail(OUT_OF_RANGE, "the fraction would be lost")
+        return bound(lambda v: Typed(f"(CASE WHEN {v.sql} <> CAST({v.sql} AS BIGINT) THEN CAST({lost} AS BIGINT) ELSE CAST({v.sql} AS BIGINT) END)", to), x)
     return fitted(half_even(x.sql, to.b) if x.type.name == "decimal" and to.b < x.type.b else x.sql, to)
 
 
@@ -144,5 +175,6 @@ def total(x: Typed) -> Typed:
 
 
 def average(x: Typed) -> Typed:
-    to = ty.averaged(x.type)
-    return Typed(quotient(f"sum({wide(x)})", x.type.digits[1], f"CAST(nullif(count({x.sql}), 0) AS DECIMAL(19,0))", 0, to), to)
+    to, scale = ty.averaged(x.type), x.type.digits[1]
+    body = lambda s, n: Typed(quotient(s.sql, scale, f"CAST(nullif({n.sql}, 0) AS DECIMAL(19,0))", 0, to), to)
+    return bound(body, Typed(f"sum({wide(x)})", SqlType("decimal", 38, scale)), Typed(f"count({x.sql})", BIGINT))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from ..errors import BAD_TEMPORAL, MISMATCH, TEMPORAL_RANGE, TRUNCATION, ZONE, EngineError
-from .exact import Typed, fail, failing
+from .exact import Typed, bound, fail, failing
 from .types import BIGINT, DATE, SqlType, decimal
 
 # The canonical texts.
@@ -28,15 +28,15 @@ def literal(name: str, text: str) -> Typed:
     try:
         if name == "date":
             datetime.strptime(text, "%Y-%m-%d")
-            return Typed(f"DATE '{text}'", DATE)
+            return Typed(f"DATE '{text}'", DATE, True)
         if name == "time":
             datetime.strptime(text.split(".")[0], "%H:%M:%S")
-            return Typed(f"CAST('{text}' AS TIME({max(digits, 0)}))", SqlType("time", digits))
+            return Typed(f"CAST('{text}' AS TIME({max(digits, 0)}))", SqlType("time", digits), True)
         if name == "timestamp":
             datetime.strptime(text.split(".")[0], "%Y-%m-%d %H:%M:%S")
-            return Typed(f"TIMESTAMP_NTZ '{text}'", SqlType("timestamp", digits))
+            return Typed(f"TIMESTAMP_NTZ '{text}'", SqlType("timestamp", digits), True)
         instant = datetime.fromisoformat(text).astimezone(timezone.utc)
-        return Typed(f"TIMESTAMP '{instant:%Y-%m-%d %H:%M:%S.%f}+00:00'", SqlType("timestamptz", digits))
+        return Typed(f"TIMESTAMP '{instant:%Y-%m-%d %H:%M:%S.%f}+00:00'", SqlType("timestamptz", digits), True)
     except ValueError:
         raise EngineError(TEMPORAL_RANGE, f"no such {name}: {text}") from None
 
@@ -135,28 +135,6 @@ def zone_name(name: str) -> str:
     raise EngineError(ZONE, f"no such time zone: {name}")
 
 
-def _transitions(zone: str) -> list[tuple[datetime, timedelta, timedelta]]:
-    """(instant, offset before, offset after) of a zone's changes, 1900 to 2100, found by halving days in which the offset moves."""
-    from zoneinfo import ZoneInfo
-
-    if "/" not in zone:
-        return []
-    z, utc = ZoneInfo(zone), timezone.utc
-    at = lambda t: t.astimezone(z).utcoffset()
-    out, t, step = [], datetime(1900, 1, 1, tzinfo=utc), timedelta(days=7)
-    before = at(t)
-    while t.year < 2100:
-        after = at(t + step)
-        if after != before:
-            lo, hi = t, t + step
-            while hi - lo > timedelta(seconds=1):
-                mid = (lo + (hi - lo) / 2).replace(microsecond=0)
-                lo, hi = (mid, hi) if at(mid) == before else (lo, mid)
-            out.append((hi, before, after))
-        t, before = t + step, after
-    return out
-
-
 def at_zone(x: Typed, zone: str) -> Typed:
     """A local timestamp in a zone as an instant (gaps and overlaps are 22009), or an instant as that zone's local timestamp."""
     zone = zone_name(zone)
@@ -164,11 +142,21 @@ def at_zone(x: Typed, zone: str) -> Typed:
         return Typed(f"convert_timezone('UTC', '{zone}', CAST({x.sql} AS TIMESTAMP_NTZ))", SqlType("timestamp", x.type.a))
     if x.type.name != "timestamp":
         raise EngineError(MISMATCH, f"no time zone for {x.type.shown}")
-    # every local time between the two readings of a clock change is skipped or stands twice
-    spans = [sorted(((t + a).replace(tzinfo=None), (t + b).replace(tzinfo=None))) for t, a, b in _transitions(zone)]
-    utc = f"CAST(convert_timezone('{zone}', 'UTC', {x.sql}) AS TIMESTAMP)"
-    if not spans:
-        return Typed(utc, SqlType("timestamptz", x.type.a))
-    pairs = ", ".join(f"struct(TIMESTAMP_NTZ '{a:%Y-%m-%d %H:%M:%S}' AS a, TIMESTAMP_NTZ '{b:%Y-%m-%d %H:%M:%S}' AS b)" for a, b in spans)
-    bad = f"exists(array({pairs}), s -> {x.sql} >= s.a AND {x.sql} < s.b)"
-    return Typed(f"(CASE WHEN {bad} THEN CAST({fail(ZONE, 'the local time is skipped or stands twice')} AS TIMESTAMP) ELSE {utc} END)", SqlType("timestamptz", x.type.a))
+    to = SqlType("timestamptz", x.type.a)
+    if "/" not in zone:  # a fixed offset skips nothing
+        return Typed(f"CAST(convert_timezone('{zone}', 'UTC', {x.sql}) AS TIMESTAMP)", to)
+    return bound(lambda local: _one_instant(local, zone, to), x)
+
+
+def _one_instant(local: Typed, zone: str, to: SqlType) -> Typed:
+    """The instant that a region's clock shows as `local`; 22009 if there is none, or two.
+
+    A skipped time does not come back from its instant.  Of a time that stands twice Java takes the earlier instant; the
+    later one follows from the offset of a day later, and shows the same time.
+    """
+    clock = lambda t: f"convert_timezone('UTC', '{zone}', {t})"
+    utc = f"convert_timezone('{zone}', 'UTC', {local.sql})"
+    next_day = f"({utc} + INTERVAL '1' DAY)"
+    later = f"({local.sql} - ({clock(next_day)} - {next_day}))"
+    bad = f"{clock(utc)} <> {local.sql} OR {later} <> {utc} AND {clock(later)} = {local.sql}"
+    return Typed(f"(CASE WHEN {bad} THEN CAST({fail(ZONE, 'the local time is skipped or stands twice')} AS TIMESTAMP) ELSE CAST({utc} AS TIMESTAMP) END)", to)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 from typing import Any
 
@@ -42,7 +42,7 @@ class Source:
     def column(self, name: str) -> Typed | None:
         for column, kind in self.relation.columns:
             if column == name:
-                return Typed(f"{self.alias}.`{name}`", kind)
+                return Typed(f"{self.alias}.`{name}`", kind, True)
         return None
 
 
@@ -101,16 +101,16 @@ class Compiler:
         for kind, what, alias, on in q.sources:
             source = self._source(what, alias, scope)
             named = f"{source.relation.sql} {source.alias}"
-            text.append(named if kind == "first" else f"{kind.upper()} JOIN {named} ON {self.truth(on, scope)}")
+            text.append(named if kind == "first" else f"{kind.upper()} JOIN {named} ON {self.condition(on, scope)}")
         aggregated = any(_has_aggregate(x) for x, _ in q.items) or q.group is not None or q.having is not None
         items = self._items(q, scope, subquery)
         if q.distinct and len(items) != 1:
             raise EngineError(UNSUPPORTED, "DISTINCT takes one expression")
-        where = [self.truth(q.where, scope)] if q.where is not None else []
+        where = [self.condition(q.where, scope)] if q.where is not None else []
         group = self.value(q.group, scope) if q.group is not None else None
         if group is not None and group.type == BOOLEAN and q.group[0] != "col":
             raise EngineError(MISMATCH, "a computed BOOLEAN is no group key")
-        having = self.truth(_with_aliases(q.having, q.items), scope) if q.having is not None else None
+        having = self.condition(_with_aliases(q.having, q.items), scope) if q.having is not None else None
         for name, source in scope.taken.items():
             outer = next(s for s in [*scope.parent.sources, *scope.parent.taken.values()] if s.name == name)
             keys = [source.relation.key] if source.relation.key else [c for c, _ in source.relation.columns]
@@ -170,10 +170,45 @@ class Compiler:
     # expressions
 
     def truth(self, x: Any, scope: Scope) -> str:
+        return self._truth(x, scope).sql
+
+    def _truth(self, x: Any, scope: Scope) -> Typed:
         out = self.value(x, scope)
         if out.type not in (BOOLEAN, NULL):
             raise EngineError(MISMATCH, f"a condition is needed, not {out.type.shown}")
-        return f"CAST({out.sql} AS BOOLEAN)" if out.type == NULL else out.sql
+        return Typed(f"CAST({out.sql} AS BOOLEAN)", BOOLEAN, True) if out.type == NULL else out
+
+    def condition(self, x: Any, scope: Scope) -> str:
+        """A condition of which only the truth counts (WHERE, ON, HAVING): unknown may stand as false."""
+        return _conjunction([self._member(part, scope) or self._truth(part, scope) for part in _flat("and", x)]).sql
+
+    def _member(self, x: Any, scope: Scope) -> Typed | None:
+        """[NOT] IN (SELECT ...) as a semi or anti join on its key; None for other conditions.
+
+        Catalyst's own join for NOT IN broadcasts the subquery whatever its size, so it becomes an anti join and two
+        tests: whether the subquery has a row, and whether it has a null.
+        """
+        if x[0] == "not" and x[1][0] == "inquery":
+            x = (*x[1][:3], not x[1][3])
+        if x[0] != "inquery" or _has_aggregate(x[1]):
+            return None
+        if not x[3]:
+            return self._in_rows(scope, x[1], x[2])
+        a, found, empty, null = self._membership(scope, x[1], x[2])
+        return Typed(f"(({empty} OR ({a.sql} IS NOT NULL AND NOT {null})) AND NOT {found})", BOOLEAN, a.safe)
+
+    def _membership(self, scope: Scope, x: Any, q: Query) -> tuple[Typed, str, str, str]:
+        """x, and as conditions: the query has x; it has no row; it has a null."""
+        a, b = self.value(x, scope), self.query(q, scope, True)
+        if len(b.columns) != 1:
+            raise EngineError(SYNTAX, "IN takes a query of one column")
+        name, kind = b.columns[0]
+        ty.comparable(a.type, kind)
+        self.aliases += 1
+        rows, column = f"({b.sql}) s{self.aliases}", f"s{self.aliases}.`{name}`"
+        inner = self.value(x, Scope(parent=scope))  # x inside the subquery, one level deeper
+        x_sql = f"CAST(NULL AS {kind.spark})" if inner.type == NULL else inner.sql
+        return a, f"EXISTS (SELECT 1 FROM {rows} WHERE {column} = {x_sql})", f"NOT EXISTS (SELECT 1 FROM {rows})", f"EXISTS (SELECT 1 FROM {rows} WHERE {column} IS NULL)"
 
     def _column(self, scope: Scope | None, qualifier: str | None, name: str) -> Typed:
         block = scope
@@ -207,17 +242,17 @@ class Compiler:
         if "." in text:
             whole, fraction = text.split(".")
             digits = len(whole.lstrip("0") + fraction)
-            return Typed(f"CAST('{text}' AS DECIMAL({max(digits, len(fraction), 1)},{len(fraction)}))", ty.decimal(max(digits, len(fraction), 1), len(fraction)))
-        return Typed(f"{int(text)}L", BIGINT)
+            return Typed(f"CAST('{text}' AS DECIMAL({max(digits, len(fraction), 1)},{len(fraction)}))", ty.decimal(max(digits, len(fraction), 1), len(fraction)), True)
+        return Typed(f"{int(text)}L", BIGINT, True)
 
     def _str_(self, scope, text):
-        return Typed("'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'", SqlType("varchar", max(1, len(text))))
+        return Typed("'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'", SqlType("varchar", max(1, len(text))), True)
 
     def _bool_(self, scope, value):
-        return Typed(str(value).upper(), BOOLEAN)
+        return Typed(str(value).upper(), BOOLEAN, True)
 
     def _null_(self, scope):
-        return Typed("CAST(NULL AS BIGINT)", NULL)
+        return Typed("CAST(NULL AS BIGINT)", NULL, True)
 
     def _param_(self, scope, n):
         value = self.parameters[n]
@@ -226,12 +261,12 @@ class Compiler:
         if isinstance(value, bool):
             return self._bool_(scope, value)
         if isinstance(value, int):
-            return Typed(f"{value}L", BIGINT)
+            return Typed(f"{value}L", BIGINT, True)
         if isinstance(value, Decimal):
             sign, digits, e = value.as_tuple()
             s = max(0, -e)
             p = max(len(digits) + max(0, e), s, 1)
-            return Typed(f"CAST('{value:f}' AS DECIMAL({p},{s}))", ty.decimal(p, s))
+            return Typed(f"CAST('{value:f}' AS DECIMAL({p},{s}))", ty.decimal(p, s), True)
         if isinstance(value, str):
             return self._str_(scope, value)
         if isinstance(value, dt.datetime):
@@ -258,7 +293,7 @@ class Compiler:
 
     def _neg_(self, scope, x):
         if x[0] == "num" and "." not in x[1]:
-            return Typed(f"(-{int(x[1])}L)" if int(x[1]) < 2**63 else "(-9223372036854775807L - 1L)", BIGINT)
+            return Typed(f"(-{int(x[1])}L)" if int(x[1]) < 2**63 else "(-9223372036854775807L - 1L)", BIGINT, True)
         return exact.negate(self.value(x, scope))
 
     def _pos_(self, scope, x):
@@ -290,11 +325,12 @@ class Compiler:
         v = self.value(x, scope)
         a, b = v.type, to
         if a == NULL:
-            return Typed(f"CAST(NULL AS {to.spark})", to)
+            return Typed(f"CAST(NULL AS {to.spark})", to, True)
         if a.name in ty.NUMERIC and b.name in ty.NUMERIC:
-            return exact.to_number(v, to)
+            widens = b.digits[1] >= a.digits[1] and b.digits[0] - b.digits[1] >= a.digits[0] - a.digits[1]
+            return replace(exact.to_number(v, to), safe=v.safe and widens)
         if a.name == b.name == "varchar":
-            return temporal.fits(v, to) if b.a < a.a else Typed(v.sql, to)
+            return temporal.fits(v, to) if b.a < a.a else Typed(v.sql, to, v.safe)
         if a.name in ty.TEMPORAL and b.name == "varchar":
             return temporal.to_text(v, to)
         if a.name == "varchar" and b.name in ty.TEMPORAL:
@@ -302,7 +338,7 @@ class Compiler:
         if a.name == b.name:
             return temporal.precision(v, to) if a.name in ty.TEMPORAL else v
         if (a.name, b.name) == ("date", "timestamp"):
-            return Typed(f"CAST({v.sql} AS TIMESTAMP_NTZ)", to)
+            return Typed(f"CAST({v.sql} AS TIMESTAMP_NTZ)", to, v.safe)
         if (a.name, b.name) == ("timestamp", "date"):
             return temporal.to_date(v)
         if {a.name, b.name} == {"timestamp", "timestamptz"}:
@@ -310,20 +346,21 @@ class Compiler:
         raise EngineError(MISMATCH, f"no cast from {a.shown} to {b.shown}")
 
     def _extract_(self, scope, part, x):
-        return temporal.extract(part, self.value(x, scope))
+        v = self.value(x, scope)
+        return replace(temporal.extract(part, v), safe=v.safe)
 
     def _zone_(self, scope, x, name):
         return temporal.at_zone(self.value(x, scope), name)
 
     def _agg_(self, scope, kind, x):
         if kind == "count":
-            return Typed("count(*)" if x is None else f"count({self.value(x, scope).sql})", BIGINT)
+            return Typed("count(*)" if x is None else f"count({self.value(x, scope).sql})", BIGINT, True)
         v = self.value(x, scope)
         if kind in ("sum", "avg"):
             return exact.total(v) if kind == "sum" else exact.average(v)
         if v.type == BOOLEAN:
             raise EngineError(MISMATCH, "BOOLEAN has no order")
-        return Typed(f"{kind}({v.sql})", v.type)
+        return Typed(f"{kind}({v.sql})", v.type, v.safe)
 
     # conditions
 
@@ -339,37 +376,33 @@ class Compiler:
         a, b = self._pair(x, y, scope)
         if op not in ("=", "<>") and BOOLEAN in (a.type, b.type):
             raise EngineError(MISMATCH, "BOOLEAN has no order")
-        null = lambda v, o: Typed(f"CAST(NULL AS {o.type.spark})", o.type) if v.type == NULL else v
-        return Typed(f"({null(a, b).sql} {op} {null(b, a).sql})", BOOLEAN)
+        null = lambda v, o: f"CAST(NULL AS {o.type.spark})" if v.type == NULL else v.sql
+        return Typed(f"({null(a, b)} {op} {null(b, a)})", BOOLEAN, a.safe and b.safe)
 
     def _and_(self, scope, x, y):
-        a, b = self.truth(x, scope), self.truth(y, scope)
-        if _may_raise(b):  # a false left side decides, whatever the right side would do
-            return Typed(f"(CASE WHEN ({a}) IS FALSE THEN FALSE ELSE ({a} AND {b}) END)", BOOLEAN)
-        return Typed(f"({a} AND {b})", BOOLEAN)
+        return _conjunction([self._truth(part, scope) for part in _flat("and", ("and", x, y))])
 
     def _or_(self, scope, x, y):
-        a, b = self.truth(x, scope), self.truth(y, scope)
-        if _may_raise(b):
-            return Typed(f"(CASE WHEN {a} THEN TRUE ELSE ({a} OR {b}) END)", BOOLEAN)
-        return Typed(f"({a} OR {b})", BOOLEAN)
+        return _disjunction([self._truth(part, scope) for part in _flat("or", ("or", x, y))])
 
     def _not_(self, scope, x):
-        return Typed(f"(NOT {self.truth(x, scope)})", BOOLEAN)
+        v = self._truth(x, scope)
+        return Typed(f"(NOT {v.sql})", BOOLEAN, v.safe)
 
     def _isnull_(self, scope, x, negated):
-        return Typed(f"({self.value(x, scope).sql} IS {'NOT ' if negated else ''}NULL)", BOOLEAN)
+        v = self.value(x, scope)
+        return Typed(f"({v.sql} IS {'NOT ' if negated else ''}NULL)", BOOLEAN, v.safe)
 
     def _is_(self, scope, x, truth, negated):
-        word = "UNKNOWN" if truth == "unknown" else truth.upper()
-        return Typed(f"({self.truth(x, scope)} IS {'NOT ' if negated else ''}{word})", BOOLEAN)
+        word, v = "UNKNOWN" if truth == "unknown" else truth.upper(), self._truth(x, scope)
+        return Typed(f"({v.sql} IS {'NOT ' if negated else ''}{word})", BOOLEAN, v.safe)
 
     def _between_(self, scope, x, lo, hi, negated):
         a, b = self._pair(x, lo, scope)
         c = self._pair(x, hi, scope)[1]
         if a.type == BOOLEAN:
             raise EngineError(MISMATCH, "BOOLEAN has no order")
-        return Typed(f"({a.sql} {'NOT ' if negated else ''}BETWEEN {b.sql} AND {c.sql})", BOOLEAN)
+        return Typed(f"({a.sql} {'NOT ' if negated else ''}BETWEEN {b.sql} AND {c.sql})", BOOLEAN, a.safe and b.safe and c.safe)
 
     def _in_(self, scope, x, items, negated):
         a = self.value(x, scope)
@@ -377,23 +410,71 @@ class Compiler:
         for v in values:
             ty.comparable(a.type, v.type)
         listed = ", ".join(f"CAST(NULL AS {a.type.spark})" if v.type == NULL else v.sql for v in values)
-        return Typed(f"({a.sql} {'NOT ' if negated else ''}IN ({listed}))", BOOLEAN)
+        return Typed(f"({a.sql} {'NOT ' if negated else ''}IN ({listed}))", BOOLEAN, all(v.safe for v in (a, *values)))
 
-    def _inquery_(self, scope, x, q, negated):
+    def _in_rows(self, scope, x, q):
         a, b = self.value(x, scope), self.query(q, scope, True)
         if len(b.columns) != 1:
             raise EngineError(SYNTAX, "IN takes a query of one column")
         ty.comparable(a.type, b.columns[0][1])
-        return Typed(f"({a.sql} {'NOT ' if negated else ''}IN ({b.sql}))", BOOLEAN)
+        return Typed(f"({a.sql} IN ({b.sql}))", BOOLEAN, a.safe)
+
+    def _inquery_(self, scope, x, q, negated):
+        """Where unknown is not false: the three values are spelled out, each with a test that joins by the key."""
+        if _has_aggregate(x):
+            v = self._in_rows(scope, x, q)
+            return Typed(f"(NOT {v.sql})", BOOLEAN, v.safe) if negated else v
+        a, found, empty, null = self._membership(scope, x, q)
+        yes, no = ("FALSE", "TRUE") if negated else ("TRUE", "FALSE")
+        return Typed(f"(CASE WHEN {found} THEN {yes} WHEN {empty} THEN {no} WHEN {a.sql} IS NULL OR {null} THEN CAST(NULL AS BOOLEAN) ELSE {no} END)", BOOLEAN, a.safe)
 
     def _exists_(self, scope, q):
-        return Typed(f"EXISTS ({self.query(q, scope, True).sql})", BOOLEAN)
+        return Typed(f"EXISTS ({self.query(q, scope, True).sql})", BOOLEAN, True)
 
     def _query_(self, scope, q):
         b = self.query(q, scope, True)
         if len(b.columns) != 1:
             raise EngineError(SYNTAX, "a scalar query has one column")
-        return Typed(f"({b.sql})", b.columns[0][1])
+        return Typed(f"({b.sql})", b.columns[0][1], True)
+
+
+def _flat(kind: str, x: Any) -> list[Any]:
+    """The operands of a chain of AND or of OR, from the left."""
+    out, left = [], x
+    while left[0] == kind:
+        out.append(left[2])
+        left = left[1]
+    parts = [left, *reversed(out)]
+    return [p for part in parts for p in (_flat(kind, part) if part[0] == kind else [part])] if any(p[0] == kind for p in parts) else parts
+
+
+def _conjunction(parts: list[Typed]) -> Typed:
+    """AND decides from the left: an operand that may raise is reached only where none before it is false.
+
+    All operands that cannot raise are conjuncts of their own, so that joins and scans take them; the others stand in one
+    CASE.  There every operand is written twice, however long the chain is.
+    """
+    plain = [p.sql for p in parts if p.safe]
+    if len(parts) == 1 or len(plain) == len(parts) or (len(plain) == len(parts) - 1 and not parts[0].safe):
+        return Typed(f"({' AND '.join(p.sql for p in parts)})" if len(parts) > 1 else parts[0].sql, BOOLEAN, len(plain) == len(parts))
+    last = max(k for k, p in enumerate(parts) if not p.safe)
+    first = next(k for k, p in enumerate(parts) if not p.safe)
+    guard = parts[last].sql
+    for p in reversed(parts[first:last]):
+        guard = f"CASE WHEN {p.sql} IS FALSE THEN FALSE ELSE ({guard} AND {p.sql}) END"
+    before = " AND ".join(p.sql for p in parts[:first])
+    guard = f"(CASE WHEN ({before}) IS FALSE THEN FALSE ELSE {guard} END)" if before else f"({guard})"
+    return Typed(f"({' AND '.join([*plain, guard])})", BOOLEAN, False)
+
+
+def _disjunction(parts: list[Typed]) -> Typed:
+    """OR decides from the left: an operand that may raise is reached only where none before it is true."""
+    if all(p.safe for p in parts[1:]):
+        return Typed(f"({' OR '.join(p.sql for p in parts)})", BOOLEAN, parts[0].safe)
+    out = parts[-1].sql
+    for p in reversed(parts[:-1]):
+        out = f"CASE WHEN {p.sql} THEN TRUE ELSE ({out} OR {p.sql}) END"
+    return Typed(f"({out})", BOOLEAN, False)
 
 
 def _has(x: Any, kinds: tuple[str, ...]) -> bool:
@@ -406,10 +487,6 @@ def _has_aggregate(x: Any) -> bool:
     return _has(x, ("agg",))
 
 
-def _may_raise(sql: str) -> bool:
-    return "SELECT" not in sql and any(w in sql for w in ("raise_error", "div", "DECIMAL", " + ", " - ", " * "))
-
-
 def _with_aliases(x: Any, items: list[tuple[Any, str | None]]) -> Any:
     """HAVING may name output columns: they stand for their expressions."""
     named = {alias: e for e, alias in items if alias}
