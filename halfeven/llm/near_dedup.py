@@ -8,18 +8,22 @@
     probability that the similarity reaches the limit, given the matches so far (uniform prior), is
     held against `MISS`; below it the pair goes.  What survives is verified on the full sets.
 4.  First every node is compared with the smallest node of each of its buckets (a star, linear in the
-    bucket) and linked to the likeliest one.  Then, in buckets that still hold several components, all
-    pairs of *different* components are compared, in blocks.  A pair within one component needs no
-    comparison, since its link would not change the result.  Pairs live only inside a block's task: a
-    first pass returns the nodes that are in a surviving pair, a second one gets their texts, verifies
-    and returns enough links to connect the block.  No link between components is lost, no bucket is
-    capped, and no pair becomes a row.
+    bucket) and linked to the likeliest one.  A pair within one component needs no more comparison, since
+    its link would not change the result.  In a bucket that still holds several components, the largest
+    one there is its main component, and the other nodes are outsiders.  Outsiders are compared with each
+    other inside the bucket, and with the main component once, whatever number of buckets they share with
+    it: its nodes are dealt to blocks by their ids, each node to one block, and an outsider goes to those
+    blocks that hold a node of one of its buckets.
+    Pairs live only inside a block's task: a first pass returns the nodes that are in a surviving pair, a
+    second one gets their texts, verifies and returns enough links to connect the block.  No link between
+    components is lost, no bucket is capped, and no pair becomes a row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,18 +163,36 @@ def _pairs_of(sizes: np.ndarray, starts: np.ndarray, most: int = 1 << 20) -> Ite
                 yield (s + first).ravel(), (s + second).ravel()
 
 
+def _across(starts: np.ndarray, left: np.ndarray, right: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a block's first `left` places with the `right` ones after them, a bounded number at a time."""
+    for m, n in np.unique(np.stack([left, right], axis=1), axis=0):
+        if not (m and n):
+            continue
+        base, rows = starts[(left == m) & (right == n)], max(1, int(most // n))
+        for lo in range(0, m, rows):
+            first = np.repeat(np.arange(lo, min(m, lo + rows)), n)
+            second = np.tile(np.arange(m, m + n), len(first) // n)
+            many = max(1, most // len(first))
+            for at in range(0, len(base), many):
+                s = base[at : at + many, None]
+                yield (s + first).ravel(), (s + second).ravel()
+
+
 def _block_pairs(x: dict[str, np.ndarray], sig: np.ndarray, edge: np.ndarray, sizes: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of places, of different components and each in the first band that its two nodes share."""
+    """Surviving pairs of places, of different components; those of a bucket in the first band that their two nodes share."""
     first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in _pairs_of(sizes, edge):
-        ok = (x["comp"][a] != x["comp"][b]) & sizes_fit(x["n"][a], x["n"][b]) & ((x["p"][a] == x["q"][a]) | (x["side"][a] != x["side"][b]))
+    whole = x["p"][edge] == x["q"][edge]
+    right = np.add.reduceat(x["side"], edge)
+    pairs = chain(_pairs_of(sizes[whole], edge[whole]), _across(edge[~whole], (sizes - right)[~whole], right[~whole]))
+    for a, b in pairs:
+        ok = (x["comp"][a] != x["comp"][b]) & sizes_fit(x["n"][a], x["n"][b])
         a, b = a[ok], b[ok]
         alive, _ = survivors(sig, sig, a, b, need)
         a, b = a[alive], b[alive]
         for at in range(0, len(a), 1 << 16):
             i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
             shared = (sig[i] == sig[j]).reshape(-1, HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1)
-            mine = shared == x["band"][i]
+            mine = (shared == x["band"][i]) | (x["band"][i] < 0)
             first.append(i[mine])
             second.append(j[mine])
     return np.concatenate(first), np.concatenate(second)
@@ -219,6 +241,8 @@ def _block_links(ids: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.n
 def _blocks(verify: bool):
     """Compares the nodes of each block: (band, bucket, p, q), of the whole block if p = q, else across its two sides.
 
+    Rows come sorted by block and side.  Band -1 stands for a main component, whose id is then the bucket.
+
     Without `verify` it returns the nodes that are in a surviving pair; with it, when rows carry the texts, the links.
     However many pairs a block has, it returns no more rows than it has nodes.
     """
@@ -348,20 +372,37 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     first = materialise(verified(materialise(best, "likely"), docs), "links")
     label = components(first)
 
-    # then all pairs of different components that share a bucket
-    labelled = shared.join(label, "id", "left").select("id", "band", "bucket", "size", F.coalesce("component_id", "id").alias("comp"))
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "bucket")
-    mixed = materialise(mixed, "mixed")
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    # then pairs of different components that share a bucket
+    labelled = shared.join(label, "id", "left").select("id", "band", "bucket", F.coalesce("component_id", "id").alias("comp"))
+    parts = labelled.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    largest = parts.groupBy("band", "bucket").agg(F.max(F.struct("c", F.negative("comp").alias("x"))).alias("m"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"))
+    mixed = materialise(largest.where("parts > 1").select("band", "bucket", F.negative("m.x").alias("main"), (F.col("size") - F.col("m.c")).alias("others")), "mixed")
+    met = materialise(labelled.join(mixed, ["band", "bucket"]), "met")
+    outside = met.where("comp != main")
+    # outsiders of a bucket among themselves, in blocks of it
+    blocks = F.ceil(F.col("others") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    met = (
-        labelled.join(mixed, ["band", "bucket"])
+    among = (
+        outside.where("others > 1")
         .select("id", "band", "bucket", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("id", "band", "bucket", "comp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        .join(nodes, "id")
     )
+    # outsiders with main components: a member is in one block, an outsider goes where a member of its buckets is
+    many = lambda rows, n: rows.groupBy("main").agg(F.ceil(F.count_distinct("id") / block).cast("int").alias(n))
+    deals = materialise(many(met.where("comp = main"), "ps").join(many(outside, "qs"), "main"), "deals")
+    member = met.where("comp = main").join(deals, "main").select("main", "band", "bucket", "id", "qs", F.pmod(F.xxhash64("id"), F.col("ps")).cast("int").alias("p"))
+    line = lambda q: F.negative(q + 1)
+    inner = member.select("main", "p", "id", "qs").distinct().select(
+        "id", F.lit(-1).alias("band"), F.col("main").alias("bucket"), F.col("main").alias("comp"), "p", F.explode(F.transform(F.sequence(F.lit(0), F.col("qs") - 1), line)).alias("q"), F.lit(0).alias("side")
+    )
+    places = materialise(member.groupBy("band", "bucket").agg(F.collect_set("p").alias("at")), "places")
+    to = outside.join(places, ["band", "bucket"]).groupBy("main", "id", "comp").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at")).join(deals, "main")
+    outer = to.select(
+        "id", F.lit(-1).alias("band"), F.col("main").alias("bucket"), "comp", F.explode("at").alias("p"), line(F.pmod(F.xxhash64("id"), F.col("qs")).cast("int")).alias("q"), F.lit(1).alias("side")
+    )
+    met = materialise(among.unionByName(inner).unionByName(outer), "dealt").join(nodes, "id")
     block_key = ["band", "bucket", "p", "q"]
-    deal = lambda rows, *more: rows.select(*block_key, "side", "id", "n", "comp", "sig", *more).repartition(*block_key).sortWithinPartitions(*block_key)
+    deal = lambda rows, *more: rows.select(*block_key, "side", "id", "n", "comp", "sig", *more).repartition(*block_key).sortWithinPartitions(*block_key, "side")
     alive = deal(met).mapInArrow(tidy(_blocks(False)), "band int, bucket long, p int, q int, side int, id long, comp long")
     alive = materialise(alive.distinct(), "alive")  # an id with several nodes may come more than once
     wanted = alive.select("id").distinct()

@@ -109,3 +109,31 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(200, 199), (199, 198)]
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert found == {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 120)}, 199: 198, 200: 198}
+
+
+def test_no_pair_near_the_limit_is_missed(spark):
+    """Hundreds of separate pairs with similarities from exactly 0.75 to 0.80, and as many just below."""
+    rng, rows, want = random.Random(11), [], {}
+    for k in range(400):
+        n = rng.randrange(60, 240)
+        words = [f"p{k}w{i}" for i in range(n + 4)]
+        most = n * 25 // 75
+        linked = k % 2 == 0
+        more = rng.randrange(n // 4, most + 1) if linked else most + 1 + rng.randrange(4)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + [f"p{k}x{i}" for i in range(more)]))]
+        want[2 * k], want[2 * k + 1] = 2 * k, 2 * k + (0 if linked else 1)
+    found = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
+def test_rows_dealt_grow_with_the_group(spark, monkeypatch):
+    """Twice as many copies of a hub, with as many outsiders: about twice as many rows go to blocks."""
+    made, write = [], near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, label: (made.append((label, out.count())) if (out := write(df, label)) is not None and label == "dealt" else None, out)[1])
+    for copies in (150, 300):
+        rng = random.Random(3)
+        hub = [f"h{i}" for i in range(300)]
+        rows = [(k, edited(hub, 2, rng)) for k in range(copies)] + [(1000 + k, edited(hub[:230], 0, rng) + f" z{k} " + " ".join(f"z{k}y{i}" for i in range(40))) for k in range(20)]
+        assert result(spark, rows, block=64) == brute(rows)
+    (_, one), (_, two) = made
+    assert two < 2.6 * one
