@@ -140,8 +140,8 @@ def cut(text: str) -> list[str]:
 def encode_parts(texts: list[str], parts_of, heads_of) -> list[bytes]:
     """The ids of each text as little-endian 32-bit integers, from those of its distinct parts.
 
-    `parts_of(parts, their bytes)` gives (ids, lengths) of a space and each part, in turn; `heads_of(heads)` those of the
-    texts' first parts.  Splitting, finding equal parts and putting the ids together run on whole arrays.
+    `parts_of(parts)` gives (ids, lengths) of a space and each part of an Arrow array, in turn; `heads_of(heads)` those of
+    the texts' first parts.  Splitting, finding equal parts and putting the ids together run on whole arrays.
     """
     import numpy as np
     import pyarrow as pa
@@ -157,7 +157,7 @@ def encode_parts(texts: list[str], parts_of, heads_of) -> list[bytes]:
     values = pa.concat_arrays([split.flatten(), pa.array([p for o in others for p in o], pa.large_string())])
     coded = values.dictionary_encode()
     place = coded.indices.to_numpy().astype(np.int64)
-    ids, lengths = parts_of(coded.dictionary.to_pylist(), pc.binary_length(coded.dictionary).to_numpy().astype(np.int64))
+    ids, lengths = parts_of(coded.dictionary)
     head_ids, head_lengths = heads_of(values.take(pa.array(first)).to_pylist())
     place[first] = len(lengths) + np.arange(len(texts))
     pool, lengths = np.concatenate([ids, head_ids]), np.concatenate([lengths, head_lengths])

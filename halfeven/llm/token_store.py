@@ -16,9 +16,11 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ from .common import blank_before_space, encode_parts, forget_at_exit, scratch_pa
 MAGIC, BLOCK = b"DAC1", 512
 #: Ids of a segment, about; a document is never cut.
 SEGMENT = 1 << 20
-#: Distinct parts of text whose ids a worker remembers, about (some 200 bytes each); twice as many with those of the time before.
-REMEMBERED = 250_000
+#: Ids that are read at once, about.
+RUN = 1 << 17
+#: Parts of text that are encoded as one.
+TOGETHER = 64
 END = 0
 
 
@@ -60,16 +64,17 @@ def _pack(values: np.ndarray, width: int) -> bytes:
     return b"".join(out)
 
 
-def _unpack(data: np.ndarray, count: int, width: int) -> np.ndarray:
-    out = np.empty(count, dtype=np.uint32)
-    for at in range(0, count, 1 << 18):
-        n = min(1 << 18, count - at)
+def _unpack(data: np.ndarray, begin: int, end: int, width: int) -> np.ndarray:
+    """The values at places begin to end, without reading others (but for 7 before them)."""
+    first, parts = begin - begin % 8, []
+    for at in range(first, end, 1 << 18):  # a multiple of 8 values: parts begin at whole bytes
+        n = min(1 << 18, end - at)
         bits = np.unpackbits(data[at * width // 8 : (at * width + n * width + 7) // 8])[: n * width].reshape(n, width)
         acc = np.zeros(n, dtype=np.uint32)
         for k in range(width):
             acc = (acc << np.uint32(1)) | bits[:, k]
-        out[at : at + n] = acc
-    return out
+        parts.append(acc)
+    return np.concatenate(parts)[begin - first :] if parts else np.zeros(0, dtype=np.uint32)
 
 
 def dac_encode(ids: np.ndarray, widths: list[int] | None = None) -> bytes:
@@ -113,6 +118,16 @@ class Dac:
     def __len__(self) -> int:
         return self.count
 
+    @staticmethod
+    def _ones(bitmap: np.ndarray, directory: np.ndarray, i: int) -> int:
+        """Continuation bits before place i: from the directory, and those of its block."""
+        block = i // BLOCK
+        if block == len(directory):
+            block -= 1
+        inside = int.from_bytes(bitmap[block * BLOCK // 8 : i // 8 + 1].tobytes(), "big")
+        spare = 8 * (min(i // 8 + 1, len(bitmap)) - block * BLOCK // 8) - (i - block * BLOCK)
+        return int(directory[block]) + (inside >> spare).bit_count()
+
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.count:
             raise IndexError(i)
@@ -123,26 +138,32 @@ class Dac:
             value |= (window >> (8 * (last - first) - (i * w - 8 * first) - w) & (1 << w) - 1) << shift
             if bitmap is None or not bitmap[i // 8] >> (7 - i % 8) & 1:
                 break
-            block = i // BLOCK
-            before = int.from_bytes(bitmap[block * BLOCK // 8 : i // 8 + 1].tobytes(), "big") >> (7 - i % 8)
-            i, shift = int(directory[block]) + before.bit_count() - 1, shift + w
+            i, shift = self._ones(bitmap, directory, i), shift + w
         return value
 
-    def decode(self) -> np.ndarray:
-        out = np.zeros(self.count, dtype=np.uint32)
+    def read(self, begin: int, end: int) -> np.ndarray:
+        """The ids at places begin to end; the directories say where they go on in each level, so no other id is decoded."""
+        out = np.zeros(end - begin, dtype=np.uint32)
         places, shift = None, 0
-        for w, entries, chunks, bitmap, _ in self.levels:
-            values = _unpack(chunks, entries, w) << np.uint32(shift)
+        for w, _, chunks, bitmap, directory in self.levels:
+            if begin >= end:
+                break
+            values = _unpack(chunks, begin, end, w) << np.uint32(shift)
             if places is None:
                 out |= values
             else:
                 out[places] |= values
             shift += w
             if bitmap is not None:
-                more = np.flatnonzero(np.unpackbits(bitmap)[:entries])
+                more = np.flatnonzero(np.unpackbits(bitmap[begin // 8 : (end + 7) // 8])[begin % 8 : begin % 8 + end - begin])
                 places = more if places is None else places[more]
+                begin = self._ones(bitmap, directory, begin)
+                end = begin + len(more)
         return out
 
+    def decode(self) -> np.ndarray:
+        return self.read(0, self.count)
+
 
 class _Encoder:
     """Ids of texts from the tokenizers library; equal parts of the texts given at once are encoded once."""
@@ -154,53 +175,46 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)  # a character stands for a byte
 
     def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after another, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for f in found for i in f), "<u4", int(lengths.sum())), lengths
-
-    def parts(self, parts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a space and each part, and how many each has; the worker remembers those of late."""
-        if len(self.known) > REMEMBERED:  # two generations: what was met in the older one stays
-            self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for k, p in enumerate(parts):
-            if p not in known:
-                if (i := older.pop(p, None)) is not None:
-                    known[p] = i
-                else:
-                    new.append(k)
-        ids, lengths = self._encoded([parts[k] for k in new], sizes[new])
-        raw, stops = ids.tobytes(), (np.cumsum(lengths) * 4).tolist()
-        known.update(zip([parts[k] for k in new], map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-        found = list(map(known.__getitem__, parts))
-        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
-
-    def _encoded(self, parts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of parts, of so many bytes, with a space before each.  Some thousand at a time are one text, cut again by the tokens' widths in bytes."""
+        return np.fromiter(chain.from_iterable(found), "<u4", int(lengths.sum())), lengths
+
+    def parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and each part, and how many each has.
+
+        Some parts at a time are one text, whose ids are cut again by the tokens' widths in bytes.
+        """
+        sizes = pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        edges = np.append(np.arange(0, len(parts), TOGETHER), len(parts))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), parts.cast(pa.string())), " ")
         ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            text = " " + " ".join(some)
-            if blank_before_space(text + " ") is None:
-                got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-                after = np.cumsum(sizes[at : at + 4096] + 1)
-                ends = np.cumsum(self.width[got])
-                places = np.searchsorted(ends, after) + 1
-                if places[-1] == len(got) and (ends[places - 1] == after).all():
-                    ids.append(got)
-                    lengths.append(np.diff(places, prepend=0))
-                    continue
-            got, n = self.each([f" {p}" for p in some])  # blank parts, or parts that end in a blank
+
+        def cut_again(got: np.ndarray, a: int, b: int) -> bool:
+            """Whether the ids of parts a to b could be told apart; they are then put with the others."""
+            after = np.cumsum(sizes[a:b])
+            ends = np.cumsum(self.width[got])
+            places = np.searchsorted(ends, after) + 1
+            if places[-1] != len(got) or (ends[places - 1] != after).any():
+                return False
             ids.append(got)
-            lengths.append(n)
+            lengths.append(np.diff(places, prepend=0))
+            return True
+
+        for at in range(0, len(joined), 64):
+            texts = [f" {t}" for t in joined[at : at + 64].to_pylist()]
+            clear = [blank_before_space(t + " ") is None for t in texts]
+            if all(clear) and cut_again(self.each(texts)[0], edges[at], edges[at + len(texts)]):
+                continue
+            for k, text in enumerate(texts, at):  # blank parts, or parts that end in a blank
+                if not clear[k - at] or not cut_again(self.each([text])[0], edges[k], edges[k + 1]):
+                    got, n = self.each([f" {p}" for p in parts[edges[k] : edges[k + 1]].to_pylist()])
+                    ids.append(got)
+                    lengths.append(n)
         return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -218,13 +232,16 @@ def _ids(path: str, texts: list[str]) -> list[bytes]:
     return _ENCODERS[path].encode(texts)
 
 
-SEGMENTS = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
+#: first_doc and last_doc (null: no id) let readers of one document skip files by their statistics.
+SEGMENTS = "part int, seq int, first_token long, n_tokens long, first_doc long, last_doc long, doc_ids array<long>, lengths array<long>, data binary"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, segment: int = SEGMENT) -> None:
     """Encodes every text (null: empty), ends each document with id 0 and writes the ids in order of doc_id to `path`.
 
-    Documents are dealt by ranges of doc_id and sorted (null ids first); rows with one id stay, one after another.
+    Documents are dealt by ranges of doc_id and sorted (null ids first); rows with one id stay, one after another.  Special
+    tokens that a text spells out take their own ids, as the library does.  A long text is one document of one segment; an
+    empty table writes no segment; columns besides doc_id and text are ignored, whatever their names.
     """
     end = struct.pack("<I", END)
 
@@ -236,9 +253,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, segment: int =
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, done, doc_ids, held, size
-            row = {"part": part, "seq": seq, "first_token": done, "n_tokens": size, "doc_ids": doc_ids, "lengths": [len(h) // 4 for h in held], "data": dac_encode(np.frombuffer(b"".join(held), dtype="<u4"))}
+            have = [d for d in doc_ids if d is not None]
+            row = {"part": part, "seq": seq, "first_token": done, "n_tokens": size, "first_doc": min(have, default=None), "last_doc": max(have, default=None), "doc_ids": doc_ids, "lengths": [len(h) // 4 for h in held], "data": dac_encode(np.frombuffer(b"".join(held), dtype="<u4"))}
             seq, done, doc_ids, held, size = seq + 1, done + size, [], [], 0
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            types = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         for batch in batches:
@@ -268,10 +286,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_ids, lengths, first, data in zip(*(batch.column(c) for c in ("doc_ids", "lengths", "first", "data")), strict=True):
-                ids = Dac(data.as_py()).decode().astype("<u4")
+                dac, crc = Dac(data.as_py()), []
                 n = lengths.values.to_numpy().astype(np.int64)
                 ends = np.cumsum(n)
-                crc = [zlib.crc32(ids[e - k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                for run in np.split(np.arange(len(n)), np.flatnonzero(np.diff(ends // RUN)) + 1):  # some documents at a time
+                    base = int(ends[run[0]] - n[run[0]])
+                    ids = dac.read(base, int(ends[run[-1]])).astype("<u4")
+                    crc += [zlib.crc32(ids[e - k - base : e - base]) for e, k in zip(ends[run].tolist(), n[run].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(first.as_py() + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = segments.join(F.broadcast(starts), "part").select("doc_ids", "lengths", (F.col("first_token") + F.col("offset")).alias("first"), "data")
@@ -279,12 +300,22 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_token(spark: SparkSession, path: str, doc_id: int, k: int) -> int | None:
-    """The k-th id of a document, from its segment alone and without decoding it; None if there is no such id."""
-    rows = spark.read.schema(SEGMENTS).parquet(path).where(F.array_contains("doc_ids", doc_id)).select("doc_ids", "lengths", "data").take(1)
-    if not rows:
-        return None
-    at = rows[0]["doc_ids"].index(doc_id)
-    return Dac(bytes(rows[0]["data"]))[sum(rows[0]["lengths"][:at]) + k] if 0 <= k < rows[0]["lengths"][at] else None
+    """The k-th id of a document; None if there is no such id.  Of rows with one doc_id the first in the files counts.
+
+    Only segments whose range of ids has the document are read, and the id is found where they are, without decoding.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = row["doc_ids"].index(doc_id)
+                n = row["lengths"][at]
+                found = Dac(row["data"])[sum(row["lengths"][:at]) + k] if 0 <= k < n else None
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((row["part"], pa.int32()), (row["seq"], pa.int32()), (found, pa.int64()))], ["part", "seq", "id"])
+
+    near = spark.read.schema(SEGMENTS).parquet(path).where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id) & F.array_contains("doc_ids", doc_id))
+    rows = near.select("part", "seq", "doc_ids", "lengths", "data").mapInArrow(tidy(run), "part int, seq int, id long").collect()  # one for each segment with the document
+    return min(rows)["id"] if rows else None
 
 
 def op2_token_store(spark, sf_dir):

@@ -49,17 +49,47 @@ def test_equal_pairs_of_a_step_contract_as_single_ones_would():
         assert bpe.contract(pieces) == short
     finally:
         byte_bpe.LONG_BYTES = before
+        bpe.close()
+
+
+def contracted(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """One pair after another: the leftmost of least rank."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_contractions_on_random_merge_tables(tmp_path, seed):
+    """Tables whose ranks follow no order of merging, so that a new pair often has a smaller rank than the one it came from."""
+    rng = random.Random(seed)
+    made = {bytes([k]): k for k in range(256)}
+    words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(120)}
+    made.update(zip(sorted(words, key=lambda _: rng.random()), range(256, 256 + len(words)), strict=True))
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % k for t, k in made.items()))
+    bpe = byte_bpe.ByteBpe(str(path), P.PATTERN)
+    pieces = list({bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 40))) for _ in range(40)} - made.keys())
+    want = [contracted(p, made) for p in pieces]
+    for most in (128, 0):  # the recursive query, then the steps for long pieces
+        before, byte_bpe.LONG_BYTES = byte_bpe.LONG_BYTES, most
+        try:
+            assert [np.frombuffer(x, "<i4").tolist() for x in bpe.contract(pieces)] == want
+        finally:
+            byte_bpe.LONG_BYTES = before
+    bpe.close()
 
 
 def test_store_round_trip(spark):
     from tokenizers import Tokenizer
 
-    texts = [*TEXTS, "same", "same"]
+    texts = [*TEXTS, "same", "same", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y <|endoftext|>", " " + "<|endoftext|> " * 50]
     path = forget_at_exit(spark, scratch_path(spark, "test"))
     token_store.write_tokens(frame(spark, texts), path, P.path("byte_bpe_50k.json"), segment=500)
     got = {r.doc_id: r for r in token_store.read_tokens(spark, path).collect()}
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     start = 0
     for k, t in enumerate(texts):
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -85,6 +115,8 @@ def test_store_edges(spark):
 def test_dac(ids, widths):
     dac = token_store.Dac(token_store.dac_encode(np.array(ids, dtype=np.uint32), widths))
     assert len(dac) == len(ids) and dac.decode().tolist() == ids
+    for a, b in [(0, 0), (0, 1), (5, 9), (511, 514), (512, 1024), (700, 3000), (len(ids), len(ids))]:
+        assert dac.read(min(a, len(ids)), min(b, len(ids))).tolist() == ids[a:b]
     assert [dac[i] for i in range(0, len(ids), 7)] == ids[::7]
     with pytest.raises(IndexError):
         dac[len(ids)]
