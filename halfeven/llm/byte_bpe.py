@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import tempfile
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,12 +20,17 @@ from pyspark.sql import DataFrame
 
 from .common import encode_parts, slices, small_batches, table, tidy
 
-#: Distinct texts and pieces whose ids a worker remembers, about (some 200 bytes each); twice as many with those of the time before.
-#: Workers live on between operators, so this memory adds to whatever runs next.
-REMEMBERED = 120_000
+#: Bytes, about, of the texts, pieces and ids that a task remembers; twice as many with those of the time before.  They go with the task.
+REMEMBERED = 24 << 20
+#: What a remembered text takes besides its bytes and those of its ids.
+ENTRY = 180
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 #: Pieces with more bytes contract all equal pairs of a step at once (see LONG).
 LONG_BYTES = 128
-DUCKDB_MEMORY = "192MB"
+#: Squared lengths of the pieces of one recursive query, summed: its rows, over all steps, are no more than half of that.
+SQUARES = 2_000_000
+DUCKDB_MEMORY = "64MB"
 
 SHORT = """
 WITH RECURSIVE s(step, w, pos, tok, np, nx) AS (
@@ -38,7 +42,7 @@ WITH RECURSIVE s(step, w, pos, tok, np, nx) AS (
           CASE WHEN pos = place THEN following WHEN np = place THEN m ELSE nx END
    FROM s JOIN pair ON s.w = pair.w WHERE pos <> gone)
 )
-SELECT w, tok FROM s QUALIFY step = max(step) OVER (PARTITION BY w) ORDER BY w, pos
+SELECT s.w, tok FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) AS done ON s.w = done.w AND s.step = done.step ORDER BY s.w, pos
 """
 
 #: One step for long pieces.  All pairs of the least rank are contracted from left to right, unless one of the pairs
@@ -82,21 +86,27 @@ class ByteBpe:
         tokens = {i: t.decode("latin-1") for t, i in self.ranks.items()}
         size = max(tokens) + 1
         self.vocabulary = (pa.table({"id": pa.array(range(size), pa.int32()), "s": pa.array([tokens.get(i, "") for i in range(size)])}))
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of `known`
 
     @property
     def con(self):
-        """The task's DuckDB; close() gives its memory back."""
+        """The task's DuckDB, in memory only; close() gives its memory back."""
         import duckdb
 
         if self.opened is None:
-            self.opened = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": tempfile.gettempdir() + "/bpe-spill"})
+            self.opened = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
             self._put("merges", self.merges)
             self._put("vocabulary", self.vocabulary)
         return self.opened
 
     def close(self) -> None:
+        """Ends a task: workers live on between operators, so only the tables of the tokenizer stay."""
+        self.forget()
         if self.opened is not None:
             self.opened.close()
             self.opened = None
@@ -118,9 +128,10 @@ class ByteBpe:
     def contract(self, pieces: list[bytes]) -> list[bytes]:
         """The ids, as little-endian u32, of distinct pieces that are not tokens themselves."""
         out: list = [None] * len(pieces)
-        short = [k for k, p in enumerate(pieces) if len(p) <= LONG_BYTES]
-        for at in range(0, len(short), 40_000):
-            part = short[at : at + 40_000]
+        short = np.array([k for k, p in enumerate(pieces) if len(p) <= LONG_BYTES], dtype=np.int64)
+        squares = np.cumsum([len(pieces[k]) ** 2 for k in short.tolist()])
+        for part in np.split(short, np.flatnonzero(np.diff(squares // SQUARES)) + 1) if len(short) else ():
+            part = part.tolist()
             self._put("pieces", self._rows([pieces[k] for k in part]))
             self._split(out, part, self.con.sql(SHORT).to_arrow_table())
         long = [k for k, p in enumerate(pieces) if len(p) > LONG_BYTES]
@@ -149,6 +160,7 @@ class ByteBpe:
             if t not in self.known:
                 if (i := self.older.pop(t, None)) is not None:
                     self.known[t] = i
+                    self.held += len(t) + len(i) + ENTRY
                 else:
                     new.append(t)
         return new
@@ -158,13 +170,17 @@ class ByteBpe:
 
         A text is remembered with its ids, and so is each of its pieces; only pieces that are not are contracted.
         """
-        if len(self.known) > REMEMBERED:  # two generations: what was met in the older one stays
-            self.known, self.older = {}, self.known
+        if self.held > REMEMBERED:  # two generations: what was met in the older one stays
+            self.known, self.older, self.held = {}, self.known, 0
         known, ranks = self.known, self.ranks
         new = self._recall(texts)
-        pieces = list(map(self.pieces, new))
+        # letters, with or without a space before them, are one piece
+        single, several = [], []
+        for t in new:
+            (single if (t[1:] if t[:1] == " " else t).isalpha() else several).append(t)
+        pieces = list(map(self.pieces, several))
         todo = []
-        for p in self._recall(list(set(chain.from_iterable(pieces)))):
+        for p in chain(single, self._recall(list(set(chain.from_iterable(pieces)).difference(single)))):
             raw = p.encode()
             if (i := ranks.get(raw)) is not None:
                 known[p] = i.to_bytes(4, "little")
@@ -172,15 +188,16 @@ class ByteBpe:
                 todo.append((p, raw))
         if todo:
             known.update(zip([p for p, _ in todo], self.contract([raw for _, raw in todo]), strict=True))
-        for t, ps in zip(new, pieces, strict=True):
+        for t, ps in zip(several, pieces, strict=True):
             if len(ps) != 1:
                 known[t] = b"".join([known[p] for p in ps])
+        self.held += sum(map(len, new)) * 2 + sum(len(raw) * 2 for _, raw in todo) + ENTRY * (len(new) + len(todo))
         found = [known[t] for t in texts]
         return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        return [np.frombuffer(raw, dtype="<i4") for raw in encode_parts(texts, lambda parts, _: self._ids([f" {p}" for p in parts]), self._ids)]
+        return [np.frombuffer(raw, dtype="<i4") for raw in encode_parts(texts, lambda parts: self._ids([f" {p}" for p in parts.to_numpy(zero_copy_only=False)]), self._ids)]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -217,7 +234,7 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
         number = [str(i) for i in range(max(bpe.ranks.values()) + 1)]
         try:
             for batch in batches:
-                for a, b in slices(batch.column("text")):
+                for a, b in slices(batch.column("text"), SLICE):
                     ids = bpe.encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
                     joined = [hashlib.sha256(",".join([number[i] for i in x.tolist()]).encode()).hexdigest() for x in ids]
                     back = [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids)]
