@@ -75,10 +75,12 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def keep_one(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """`docs` with one row of each group of equal texts, its columns as they were.
 
-    Rows of a heavy digest that are not its winner go before the shuffle; a winner and the rows
-    of all other digests then take an ordinary shuffle, which keeps the row with the largest doc_id.
+    Rows of a heavy digest that are not its winner go before the shuffle.  All others are aggregated by digest, on the
+    map side first, so what a task gets of a digest is one row of each map task at most.  The row with the largest doc_id
+    stays (null ids sort first); of rows that also share the id, the one whose text sorts last.  Null counts as empty
+    text, an empty table stays empty, and other columns may have any names and nulls.
     """
-    digest, row, heavy, rank = fresh(docs, "x_digest", "x_row", "x_heavy", "x_rank")
+    digest, row, heavy, kept = fresh(docs, "x_digest", "x_row", "x_heavy", "x_kept")
     slim = materialise(
         docs.select(F.col("doc_id").alias("doc_id"), F.sha2(normalised(F.col("text")), 256).alias("digest"), F.lit(0).alias("row_id")), "digests"
     )
@@ -87,8 +89,9 @@ def keep_one(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     left = marked.join(F.broadcast(winners.withColumn(row, F.lit(True))), digest, "left").where(
         F.col(row).isNull() | F.col("doc_id").eqNullSafe(F.col(heavy))
     )
-    order = Window.partitionBy(digest).orderBy(F.col("doc_id").desc_nulls_last())
-    return left.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("c"))
+    return left.groupBy(digest).agg(F.max_by(F.struct(*columns), order).alias(kept)).select(*[F.col(f"{kept}.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_exact_dedup(spark, sf_dir):
