@@ -6,8 +6,9 @@ A string of L bytes that starts at two places is found in three steps.
     (the leftmost of equals), so equal windows have equal anchors at equal offsets.  About 2 in L-k+2
     places are anchors; only their hashes are counted over the corpus.
 2.  Suffix order.  Anchors that occur twice or more send their surroundings to the bucket of their hash.
-    There the starts of all windows are put in suffix order, cut off at L bytes: suffixes that share
-    their first L bytes are neighbours.  In that order the previous and the next smaller position of
+    There the starts of all windows are put in suffix order by the bytes of their suffixes, cut off at L
+    bytes (prefix doubling; equal surroundings are ordered once): suffixes that share their first L bytes
+    are neighbours.  In that order the previous and the next smaller position of
     each start are its nearest earlier occurrences, and the longest previous factor reaches L where one
     of them shares L bytes.  Starts whose factor reaches L are later copies: with keep="first" only they
     go.  With keep="none" the same is done towards larger positions too, and every copy goes.
@@ -157,13 +158,42 @@ def long_previous_factor(order: np.ndarray, run: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the distinct ones."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+    return out
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The rank of every suffix of `data` by its first `length` bytes, exactly; zeros stand after the end.
+
+    Prefix doubling: the ranks for 2 h bytes follow from those for h bytes at a place and h bytes later.
+    """
+    n, h = len(data), 1
+    padded = np.concatenate([data, np.zeros(length + 8, dtype=np.uint8)])
+    while h * 2 <= min(length, 8):
+        h *= 2
+    keys = np.zeros(n + length, dtype=np.uint64)
+    for k in range(h):  # h bytes as one number, the first byte highest
+        keys = keys << np.uint64(8) | padded[k : k + n + length]
+    rank = _ranked(keys)
+    while h < length:
+        step = min(h, length - h)
+        later = np.concatenate([rank[step:], np.full(step, rank[-1])])  # past the end there are zeros only
+        rank = _ranked(rank * (int(rank.max()) + 1) + later)
+        h += step
+    return rank[:n]
+
+
 def _mark(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int, keep: str) -> np.ndarray:
     """Which windows are copies: of each surrounding its first counts[i] starts are windows; they stand in order of position."""
     windows = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    one, two = (_hashes(_prefixes(data, salt), length)[windows] for salt in (0, 1))
-    order = np.argsort(one)
-    one, two = one[order], two[order]
-    run = np.cumsum(np.concatenate([[0], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    rank = suffix_ranks(data, length)[windows]
+    order = np.argsort(rank, kind="stable")  # suffixes that share all L bytes follow each other by position
+    run = rank[order]
     marked = long_previous_factor(order, run)
     if keep == "none":
         marked |= long_previous_factor(len(order) - 1 - order, run)[::-1]
@@ -186,7 +216,7 @@ class Repeats:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[rows[doc]]), pa.array(place - starts[doc] + offsets[doc])], ["h", "text_key", "place"])
 
     def _found(self, batches: Iterator[pa.RecordBatch], column: str):
-        """Anchors of the texts whose places are listed: key, data, and per anchor its text's row, place, first and last window, and the base of its text in data."""
+        """Anchors of the texts whose places are listed: key and first id of the text, data, and per anchor its text's row, place, first and last window, and the base of its text in data."""
         for batch in batches:
             batch = batch.filter(batch.column("stands"))
             keys = batch.column("text_key").to_numpy()
@@ -197,33 +227,38 @@ class Repeats:
                 inside = np.concatenate([np.full(len(lists[r] or ()), k) for k, r in enumerate(rows)]).astype(np.int64)
                 wanted = wanted[(wanted >= starts[inside]) & (wanted < starts[inside + 1])]
                 hit = np.isin(place, wanted)
-                yield keys[rows[doc[hit]]], data, (offsets - starts[:-1])[doc[hit]], first[hit], last[hit], h[hit]
+                texts = pa.array(rows[doc[hit]])
+                yield keys[texts], batch.column("first_id").take(texts), data, (offsets - starts[:-1])[doc[hit]], first[hit], last[hit], h[hit]
 
     def _surroundings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, data, base, first, last, h in self._found(batches, "places"):
+        for keys, ids, data, base, first, last, h in self._found(batches, "places"):
             raw = data.tobytes()
             around = [raw[a : b + self.length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys), pa.array(first + base), pa.array(around, pa.binary())], ["h", "text_key", "first", "around"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(keys), pa.array(first + base), pa.array(around, pa.binary())], ["h", "first_id", "text_key", "first", "around"])
 
     def _windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, data, base, first, last, _ in self._found(batches, "hot_places"):
+        for keys, ids, data, base, first, last, _ in self._found(batches, "hot_places"):
             if not len(keys):
                 continue
             n = last - first + 1
             at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
             one, two = (_hashes(_prefixes(data, salt), self.length)[at].view(np.int64) for salt in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.repeat(keys, n)), pa.array(at + np.repeat(base, n))], ["one", "two", "text_key", "start"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(one), pa.array(two), ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(keys, n)), pa.array(at + np.repeat(base, n))], ["one", "two", "first_id", "text_key", "start"]
+            )
 
     def _copies(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Marked stretches of the buckets; rows come sorted by (h, text_key, first)."""
+        """Marked stretches of the buckets; rows come sorted by (h, first_id, text_key, first)."""
 
         def judge(t: pa.Table) -> pa.RecordBatch:
             h, key, first = (t.column(c).to_numpy() for c in ("h", "text_key", "first"))
             own = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (first[1:] != first[:-1])])  # equal texts send equal rows
-            key, first, around = key[own], first[own], t.column("around").filter(pa.array(own)).to_pylist()
+            key, first = key[own], first[own]
+            coded = t.column("around").filter(pa.array(own)).combine_chunks().dictionary_encode()  # copies have equal surroundings
+            around, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             sizes = np.array([len(a) for a in around])
-            counts, ends = sizes - self.length + 1, np.cumsum(sizes)
-            marked = _mark(np.frombuffer(b"".join(around), dtype=np.uint8), ends - sizes, counts, self.length, self.keep)
+            counts, starts = (sizes - self.length + 1)[which], (np.cumsum(sizes) - sizes)[which]
+            marked = _mark(np.frombuffer(b"".join(around), dtype=np.uint8), starts, counts, self.length, self.keep)
             row = np.repeat(np.arange(len(counts)), counts)
             begin = np.flatnonzero(marked & np.concatenate([[True], ~marked[:-1] | (row[1:] != row[:-1])]))
             end = np.flatnonzero(marked & np.concatenate([~marked[1:] | (row[1:] != row[:-1]), [True]]))
@@ -289,9 +324,10 @@ class Repeats:
     def apply(self, docs: DataFrame) -> DataFrame:
         """One row per row of `docs`: doc_id, n_bytes, n_removed, spans (removed runs), kept (remaining bytes).
 
-        Texts are UTF-8 bytes; null is the empty text.  "Earlier" follows the texts' keys and, of equal texts, the
-        doc_id.  Repeated rows are copies of each other (with keep="first" of rows with one id all stay); null ids are
-        ordinary.  An empty table gives no rows.  Columns besides doc_id and text are ignored.
+        Texts are UTF-8 bytes; null is the empty text.  "Earlier" follows the least doc_id that a text has (null first),
+        then the place in the text.  Repeated rows are copies of each other (with keep="first" of rows with one id all
+        stay); null ids are ordinary.  A long text is worked on in parts that overlap.  An empty table gives no rows.
+        Columns besides doc_id and text are ignored, whatever their names.
         """
         small_batches(docs.sparkSession)
         text = F.coalesce(F.col("text"), F.lit(""))
@@ -317,11 +353,11 @@ class Repeats:
         # of equal texts one stands for all
         chosen = where.join(groups.select("text_key", "first_id"), "text_key")
         # (told apart in Python: as a condition it would join the key, and the texts would be shuffled once more for the last join)
-        found = rest.join(chosen, "text_key").select("doc_id", "text_key", "text", "places", "hot_places", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("stands"))
+        found = rest.join(chosen, "text_key").select("doc_id", "text_key", "text", "places", "hot_places", "first_id", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("stands"))
         copies = (
-            found.mapInArrow(tidy(self._surroundings), "h long, text_key long, first long, around binary")
+            found.mapInArrow(tidy(self._surroundings), "h long, first_id long, text_key long, first long, around binary")
             .repartition("h")
-            .sortWithinPartitions("h", "text_key", "first")
+            .sortWithinPartitions("h", "first_id", "text_key", "first")
             .mapInArrow(tidy(self._copies), "text_key long, start long, end long")
         )
         if repeated.where("hot").take(1):
@@ -338,8 +374,8 @@ class Repeats:
 
     def _hot_copies(self, found: DataFrame) -> DataFrame:
         """Windows of hot anchors, one row each: of a digest with several windows all but the first are later copies."""
-        windows = found.mapInArrow(tidy(self._windows), "one long, two long, text_key long, start long")
-        at = F.struct("text_key", "start")
+        windows = found.mapInArrow(tidy(self._windows), "one long, two long, first_id long, text_key long, start long")
+        at = F.struct("first_id", "text_key", "start")
         sets = windows.groupBy("one", "two").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo != hi")
         # a window that very many texts share is dealt to several tasks
         salted = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

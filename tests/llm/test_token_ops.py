@@ -147,7 +147,17 @@ def test_repeats_keep_the_first(spark, hot):
     assert sum(r.n_removed for r in got.values()) < sum(v[1] for v in every.values())
     left = [(d, bytes(got[d].kept)) for d, _ in rows]
     strings = {t.encode()[i : i + 40] for _, t in rows if t for i in range(len(t.encode()) - 39)}
-    assert {b[i : i + 40] for _, b in left for i in range(len(b) - 39)} | strings  # what stays may make new strings
+    assert {t[i : i + 40] for t in (b for d, b in left if not got[d].spans) for i in range(len(t) - 39)} <= strings
+    first = {}
+    for d, t in rows:  # the first occurrence, by document and place, of every string
+        for i in range(len((t or "").encode()) - 39):
+            first.setdefault(t.encode()[i : i + 40], (d, i))
+    for d, t in rows:
+        gone = bytearray(len((t or "").encode()))
+        for i in range(len(gone) - 39):
+            if first[t.encode()[i : i + 40]] != (d, i):
+                gone[i : i + 40] = b"\1" * 40
+        assert bytes(got[d].kept) == bytes(b for b, g in zip((t or "").encode(), gone, strict=True) if not g)
     copies = [d for d, t in rows if t == rows[42][1]]
     assert len(copies) == 2 and got[copies[1]].kept == b""
 
@@ -171,6 +181,29 @@ def test_long_texts_are_cut_and_joined(spark):
         repeats.PIECE = before
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_suffix_ranks_follow_the_bytes():
+    rng = np.random.default_rng(4)
+    for data in (rng.integers(0, 3, 400), rng.integers(0, 256, 300), np.zeros(90), np.frombuffer(thue_morse(1500).encode(), np.uint8)):
+        raw = data.astype(np.uint8).tobytes()
+        for length in (1, 2, 5, 8, 9, 40, 200):
+            cut = [(raw[i : i + length]).ljust(length, b"\0") for i in range(len(raw))]
+            place = {c: k for k, c in enumerate(sorted(set(cut)))}
+            got = repeats.suffix_ranks(np.frombuffer(raw, np.uint8), length)
+            assert len(set(zip(got.tolist(), cut, strict=True))) == len(place) and (np.diff(got[sorted(range(len(raw)), key=lambda i: place[cut[i]])]) >= 0).all()
+
+
+def test_repeats_in_strings_that_defeat_polynomial_hashes(spark):
+    """Thue-Morse strings and their complements, on which sums of powers modulo 2^64 agree."""
+    t = thue_morse(4096)
+    rows = list(enumerate([t[:2048] + "x", t[2048:] + "y", t[1024:3072], t[100:400] + "z" + t[100:400]]))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in repeats.Repeats(200, "none").apply(frame(spark, [t for _, t in rows])).collect()}
+    assert got == brute.repeats(rows, 200)
+
+
 def test_previous_smaller_and_factor():
     rng = np.random.default_rng(2)
     for n in (1, 2, 50, 300):
