@@ -2,9 +2,11 @@
 
 Every rolling two-word gram of every text is joined, by hash, to the places where it stands in the
 license templates.  A match at word p of the text and word t of the template votes for diagonal
-p - t; votes are counted per diagonal, neighbouring diagonals (a word added or left out) are merged,
-and a merged span counts as found when enough different grams of its template voted.  The words themselves
-are compared in the join, so a hash collision cannot vote.
+p - t; votes are counted per diagonal, and neighbouring diagonals (a word added or left out) are merged.
+A merged span begins at a diagonal and takes those at most `drift` beyond it, so single grams that stand
+far apart never add up; it is verified by the share of its template's grams that stand inside it, each
+within `drift` words of its place.  The words themselves are compared in the join, so a hash collision
+cannot vote.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ EXTRA = [
     ("creative commons attribution", "cc-by"),
     ("released into the public domain", "public-domain"),
 ]
-#: Diagonals at most this far apart are one span.
+#: Words that may be added or left out in a span: its diagonals are at most this far apart.
 DRIFT = 2
 #: Share of a template's grams that must vote for a merged span.
 ENOUGH = 0.7
@@ -38,6 +40,8 @@ def template_rows(templates: list[tuple[str, str]]) -> list[tuple]:
     rows = [(-1, 0, "", None)]
     for k, (phrase, _) in enumerate(templates):
         w = phrase.split(" ")
+        if not 2 <= len(w) <= 64:
+            raise ValueError(f"a template has 2 to 64 words, not {len(w)}: {phrase}")
         rows += [(k, t, w[t], w[t + 1]) for t in range(len(w) - 1)]
     return rows
 
@@ -75,17 +79,16 @@ def license_scan(docs: DataFrame, base=BASE, extra=EXTRA, drift: int = DRIFT, en
 
     n_base counts the places of base phrases (a diagonal with all its votes); first_word and last_word are their
     smallest and largest start, null without any.  score is the best share of a template's grams in one merged span.
-    Null or wordless text: 0 words, no labels, score 0.  Repeated rows and null ids each give a row of their own.
+    Null or wordless text: 0 words, no labels, score 0.  Repeated rows and null ids each give a row of their own.  A long
+    text is one row of words; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark, templates = docs.sparkSession, [*base, *extra]
     facts = spark.createDataFrame(
         [(k, len(p.split(" ")) - 1, label, k < len(base)) for k, (p, label) in enumerate(templates)], "template int, grams int, label string, is_base boolean"
     )
     votes = license_spans(docs, templates).join(F.broadcast(facts), "template", "left")
-    order = Window.partitionBy("row_id", "template").orderBy("diagonal")
-    merged = votes.withColumn(
-        "span", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= drift, 0).otherwise(1)).over(order)
-    ).withColumn("span_votes", F.bit_count(F.bit_or("votes").over(Window.partitionBy("row_id", "template", "span"))))
+    span = Window.partitionBy("row_id", "template").orderBy("diagonal").rangeBetween(0, drift)
+    merged = votes.withColumn("span_votes", F.bit_count(F.bit_or("votes").over(span)))
     whole = F.col("is_base") & (F.bit_count("votes") == F.col("grams"))
     share = F.when(F.col("template") >= 0, F.least(F.lit(1.0), F.col("span_votes") / F.col("grams")))
     found = whole | (~F.col("is_base") & (share >= enough))
@@ -115,10 +118,8 @@ g AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w),
 t(template, tpos, t1, t2) AS (VALUES {grams}),
 f(template, grams, label, is_base) AS (VALUES {facts}),
 v AS (SELECT doc_id, template, i - 1 - tpos AS diagonal, bit_or(1::BIGINT << tpos) AS votes FROM g JOIN t ON w[i] = t1 AND w[i + 1] = t2 GROUP BY ALL),
-m AS (SELECT *, sum(CASE WHEN diagonal - prev <= {drift} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span
-      FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS prev FROM v)),
-s AS (SELECT m.*, grams, label, is_base, is_base AND bit_count(votes) = grams AS whole,
-             least(1.0::DOUBLE, bit_count(bit_or(votes) OVER (PARTITION BY doc_id, m.template, span))::DOUBLE / grams) AS share FROM m JOIN f USING (template)),
+s AS (SELECT v.*, grams, label, is_base, is_base AND bit_count(votes) = grams AS whole,
+             least(1.0::DOUBLE, bit_count(bit_or(votes) OVER (PARTITION BY doc_id, v.template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {drift} FOLLOWING))::DOUBLE / grams) AS share FROM v JOIN f USING (template)),
 a AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, min(diagonal) FILTER (whole) AS first_word, max(diagonal) FILTER (whole) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole OR (NOT is_base AND share >= {enough})) AS labels, max(share) AS score FROM s GROUP BY doc_id)

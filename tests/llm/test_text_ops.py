@@ -3,7 +3,7 @@
 import pytest
 
 from halfeven.llm import decontaminate, exact_dedup, license_scan, secret_scan, url_filter
-from halfeven.llm.common import cut
+from halfeven.llm.common import cut, forget_at_exit, scratch_path
 
 from . import brute
 
@@ -169,6 +169,40 @@ def test_secret_ledger_is_incremental(spark):
     assert again.count() == len(set(t or "" for t in TEXTS)) + 1
 
 
+def test_secret_ledger_is_stored(spark, monkeypatch):
+    """A second run scans only blobs that are new; another rule version scans all; a broken run counts for nothing."""
+    path = forget_at_exit(spark, scratch_path(spark, "ledger"))
+    scanned, find = [], secret_scan.find
+    monkeypatch.setattr(secret_scan, "find", lambda blobs, rules: (scanned.append(blobs.count()), find(blobs, rules))[1])
+    first = spark.createDataFrame([(1, "x token=abcdefgh y"), (2, "x token=abcdefgh y"), (3, None)], "doc_id long, text string")
+    more = first.union(spark.createDataFrame([(4, "password: 123456"), (5, "")], "doc_id long, text string"))
+    spans = lambda docs, **o: {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan_stored(docs, path, **o)).collect()}
+    want = {1: "assign:2:16", 2: "assign:2:16", 3: ""}
+    assert spans(first) == want
+    spark.createDataFrame([], secret_scan.LEDGER).write.parquet(f"{path}/run-broken")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run-broken/_SUCCESS")
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, False)
+    assert spans(more) == {**want, 4: "assign:0:16", 5: ""}
+    assert spans(more) == {**want, 4: "assign:0:16", 5: ""}
+    assert spans(first, version="2") == want
+    assert scanned == [2, 1, 0, 2]
+    assert secret_scan.stored_ledger(spark, path).groupBy("rule_version").count().collect() is not None
+
+
+def test_license_grams_that_stand_apart_give_no_label(spark):
+    bsd = "redistribution and use in source and binary forms".split()
+    apart = " ".join(f"{a} {b} zz{k}" for k, (a, b) in enumerate(zip(bsd, bsd[1:], strict=False)))
+    docs = spark.createDataFrame([(1, apart), (2, " ".join(bsd)), (3, "Redistribution, and use of it in source and binary forms.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert got[1].labels == "" and got[1].score < 0.5
+    assert (got[2].labels, got[2].score) == ("bsd", 1.0) and got[3].labels == "bsd"
+    with pytest.raises(ValueError):
+        license_scan.template_rows([(" ".join(["a"] * 65), "long")])
+    words = [f"w{k}" for k in range(64)]
+    long = spark.createDataFrame([(1, "x " + " ".join(words))], "doc_id long, text string")
+    assert license_scan.license_scan(long, extra=[(" ".join(words), "own")]).first().labels == "own"
+
+
 def test_secret_own_kinds_and_edges(spark):
     t = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "Z" * 36
     row = secret_scan.digest(secret_scan.secret_scan(frame(spark, [(1, t)]))[0]).first()
