@@ -20,14 +20,14 @@ from .sources.tables import KEYS, configured, read, snapshot_path
 
 #: Fixtures with NULLs, Unicode and ties: name, columns, rows as SQL that both engines read.
 FIXTURES = {
-    "outer_rows": ("id bigint, value bigint, region bigint, label string", "(1,10,1,'first'),(2,20,1,'second'),(3,NULL,2,'unknown'),(4,40,3,'東京-🌊-résumé')"),
-    "inner_rows": ("id bigint, value bigint, region bigint", "(10,NULL,1),(11,10,1),(12,30,2),(13,10,2)"),
+    "outer_rows": ("id bigint, value bigint, region bigint, label string", "(1,3,7,'Zürich'),(2,3,8,'oslo'),(3,NULL,7,NULL),(4,12,NULL,'ñandú ☂'),(5,30,9,''),(6,8,8,'Ωmega')"),
+    "inner_rows": ("id bigint, value bigint, region bigint", "(21,3,7),(22,NULL,9),(23,8,7),(24,12,8),(25,3,9),(26,30,NULL)"),
     "samples": ("id bigint, category bigint, amount bigint", None),
-    "facts": ("id bigint, grp bigint, nullable_grp bigint, label string, amount bigint", "(1,1,1,'猫',10),(2,1,1,'犬',20),(3,2,2,'',30),(4,2,2,'é',NULL),(5,3,NULL,NULL,NULL)"),
-    "flags": ("id bigint, enabled boolean", "(1,TRUE),(2,FALSE),(3,NULL)"),
-    "hash_left": ("id bigint, k bigint, amount decimal(8,2), flag boolean, label string", "(1,10,1.20,TRUE,'é😀'),(2,20,2.00,FALSE,'猫'),(3,NULL,NULL,NULL,NULL)"),
-    "hash_right": ("id bigint, k bigint, amount decimal(9,3), flag boolean, label string", "(11,10,1.200,TRUE,'é😀'),(12,10,1.200,TRUE,'é😀'),(13,20,2.000,FALSE,'猫'),(14,NULL,NULL,NULL,NULL)"),
-    "numbers": ("id bigint, a bigint, b bigint, x decimal(8,2), y decimal(6,3)", "(1,7,2,1.25,0.125),(2,-7,2,-1.25,8.000),(3,7,-2,42.70,-3.333),(4,NULL,3,NULL,1.000),(5,9,NULL,2.345,NULL),(6,0,5,0.05,0.010)"),
+    "facts": ("id bigint, grp bigint, nullable_grp bigint, label string, amount bigint", "(1,4,2,'ß',5),(2,4,NULL,'ss',-5),(3,6,2,NULL,11),(4,6,3,'ß',11),(5,6,3,'',NULL),(6,9,NULL,'𝄞',0),(7,7,1,'k',3)"),
+    "flags": ("id bigint, enabled boolean", "(1,NULL),(2,TRUE),(3,FALSE),(4,TRUE)"),
+    "hash_left": ("id bigint, k bigint, amount decimal(8,2), flag boolean, label string", "(1,100,0.50,FALSE,'ü'),(2,NULL,7.25,TRUE,'x'),(3,300,7.25,NULL,'𝄞'),(4,100,-1.00,TRUE,NULL)"),
+    "hash_right": ("id bigint, k bigint, amount decimal(9,3), flag boolean, label string", "(7,100,0.500,FALSE,'ü'),(8,300,7.250,TRUE,'𝄞'),(9,300,7.251,NULL,'𝄞'),(10,NULL,7.250,TRUE,'x'),(11,100,-1.000,TRUE,'ü')"),
+    "numbers": ("id bigint, a bigint, b bigint, x decimal(8,2), y decimal(6,3)", "(1,11,4,3.75,0.375),(2,-11,4,-3.75,6.500),(3,11,-4,88.10,-2.125),(4,NULL,6,NULL,9.000),(5,13,NULL,1.11,NULL),(6,0,3,0.15,0.020)"),
     "moments": ("id bigint, day date, seen timestamp_ntz", "(1,DATE '2024-02-28',TIMESTAMP '2024-02-28 10:00:00.123456'),(2,DATE '2024-02-29',TIMESTAMP '2024-02-29 23:59:59.9'),(3,NULL,NULL),(4,DATE '1999-12-31',TIMESTAMP '1999-12-31 00:00:00')"),
 }
 _SAMPLES = "SELECT id, CASE WHEN id % 100 = 0 THEN NULL ELSE id % 7 END AS category, CASE WHEN id % 13 = 0 THEN NULL ELSE id END AS amount FROM "
@@ -158,7 +158,7 @@ _add("ag14_staged_aggregates", "SELECT MAX(total) AS most FROM (SELECT o_custkey
 _add("ag15_text_key", "SELECT label, COUNT(*) AS n FROM facts GROUP BY label", f"SELECT label, count(*) AS n FROM {fixture_sql('facts')} GROUP BY label")
 
 # 2.6 order and limit
-_add("so1_null_order", "SELECT id, value FROM outer_rows ORDER BY value LIMIT 2", f"SELECT id, value FROM {fixture_sql('outer_rows')} ORDER BY value NULLS FIRST LIMIT 2")
+_add("so1_null_order", "SELECT id, value FROM outer_rows ORDER BY value LIMIT 2", f"SELECT id, value FROM {fixture_sql('outer_rows')} ORDER BY value NULLS FIRST, id LIMIT 2")
 _add("so2_tie_break", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus DESC LIMIT 40", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus DESC, o_orderkey DESC LIMIT 40")
 _add("so3_large_sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice", f"SELECT o_orderkey, o_totalprice FROM {O}")
 _add("so4_computed_order", "SELECT o_orderkey, o_totalprice - 1000.00 AS rest FROM orders ORDER BY rest DESC LIMIT 30", f"SELECT o_orderkey, CAST(o_totalprice - 1000 AS DECIMAL(13,2)) AS rest FROM {O} ORDER BY rest DESC, o_orderkey DESC LIMIT 30")
@@ -313,7 +313,7 @@ SCRIPTS.update({
     "dd4_views": (_script(*_T, "CREATE VIEW a AS SELECT id FROM invoices WHERE amount > 11.00", "CREATE VIEW b AS SELECT id FROM a", "DROP VIEW b", then="SELECT id FROM a"), "SELECT unnest([1, 3])::BIGINT AS id"),
     "dd5_rename": (_script(*_T, "ALTER TABLE invoices RENAME COLUMN amount TO total", "ALTER TABLE invoices RENAME TO bills", then="SELECT id, total FROM bills WHERE total > 11.00"), "SELECT id::BIGINT AS id, total::DECIMAL(8,2) AS total FROM (VALUES (1, 42.7), (3, 12.3)) v(id, total)"),
     "dd6_sequences": (_script("CREATE SEQUENCE a", "CREATE SEQUENCE b START WITH -4 INCREMENT BY -2", "DROP SEQUENCE a", then="SELECT NEXT VALUE FOR b"), "SELECT -4::BIGINT AS next_value"),
-    "dd7_analyze": (_statistics("facts"), "SELECT * FROM (VALUES ('id', 5::BIGINT, 0::BIGINT, 5::BIGINT), ('grp', 5, 0, 3), ('nullable_grp', 5, 1, 2), ('label', 5, 1, 4), ('amount', 5, 2, 3)) v(column_name, row_count, null_count, distinct_count)"),
+    "dd7_analyze": (_statistics("facts"), "SELECT * FROM (VALUES ('id', 7::BIGINT, 0::BIGINT, 7::BIGINT), ('grp', 7, 0, 4), ('nullable_grp', 7, 2, 3), ('label', 7, 1, 5), ('amount', 7, 1, 5)) v(column_name, row_count, null_count, distinct_count)"),
     "dd7_analyze_orders": (_statistics("orders"), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count FROM {O}" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))),
     "dd8_show": (_script("CREATE TABLE plain", then="SHOW COLUMNS FROM plain"), "SELECT * FROM (VALUES ('key', 'BIGINT', FALSE, 1::BIGINT), ('value', 'BIGINT', TRUE, 2)) v(column_name, type, is_nullable, ordinal)"),
     "dd9_explain": (_plan, f"SELECT count(*) AS n, TRUE AS filters FROM {N} WHERE n_regionkey = 2"),
