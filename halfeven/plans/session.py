@@ -21,7 +21,7 @@ from ..functions import exact, temporal
 from ..functions import types as ty
 from ..functions.exact import Typed
 from ..functions.types import BIGINT, NULL, SqlType
-from ..sources.catalog import Catalog, Column, Sequence, Table, View
+from ..sources.catalog import Catalog, Column, Sequence, Table, View, merged
 from ..sources.tables import configured, snapshot_path
 from .compiler import Compiler, Relation, Scope, Source
 from .parser import Parser, Query, need_parameters
@@ -59,6 +59,8 @@ class Session:
         self.base = 0
         self.savepoints: list[tuple[str, Catalog]] = []
         self.wrote = False
+        self.snapshot: Catalog | None = None  # what was committed when the transaction began
+        self.read: set[str] = set()  # tables and views that it has read
         self._views: dict[tuple, str] = {}
 
     @property
@@ -68,12 +70,14 @@ class Session:
     # reading
 
     def rows(self, table: Table) -> DataFrame:
+        self.read.add(table.name)
         if table.frame is not None:
             return table.frame
         schema = ", ".join(f"`{c.name}` {c.type.spark}" for c in table.columns)
         return self.spark.read.schema(schema).parquet(*table.paths) if table.paths else self.spark.createDataFrame([], schema)
 
     def _relation(self, name: str) -> Relation:
+        self.read.add(name)
         if name in self.catalog.views:
             q = Parser(self.catalog.views[name].text).query()
             inner = self._compiler(()).query(q)
@@ -176,10 +180,11 @@ class Session:
             if level not in ISOLATION:
                 raise EngineError(SYNTAX, f"no isolation level {level}")
             p.end()
-        self.mine, self.base, self.wrote, self.savepoints = self.engine.catalog.copy(), self.engine.version, False, []
+        self.mine, self.snapshot, self.base = self.engine.catalog.copy(), self.engine.catalog.copy(), self.engine.version
+        self.wrote, self.savepoints, self.read = False, [], set()
 
     def _end(self) -> None:
-        self.mine, self.savepoints, self.wrote = None, [], False
+        self.mine, self.snapshot, self.savepoints, self.wrote = None, None, [], False
 
     def _need_open(self) -> None:
         if self.mine is None:
@@ -191,8 +196,8 @@ class Session:
             if self.wrote:
                 with self.engine.writer:
                     if self.engine.version != self.base:
-                        raise EngineError(CONFLICT, "another transaction has committed")
-                    self.engine.catalog, self.engine.version = self.mine, self.base + 1
+                        self.mine = merged(self.engine.catalog, self.snapshot, self.mine, self.read)
+                    self.engine.catalog, self.engine.version = self.mine, self.engine.version + 1
         finally:
             self._end()
 

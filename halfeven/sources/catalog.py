@@ -10,7 +10,7 @@ import copy
 from dataclasses import dataclass, field
 from typing import Any
 
-from ..errors import SYNTAX, UNDEFINED, EngineError
+from ..errors import CONFLICT, SYNTAX, UNDEFINED, EngineError
 from ..functions.types import SqlType
 
 RESERVED = "_halfeven_"
@@ -95,3 +95,27 @@ class Catalog:
     def need_unused(self, name: str) -> None:
         if used := self.users(name):
             raise EngineError("2BP01", f"{name} is used by {', '.join(used)}")
+
+
+def merged(now: Catalog, base: Catalog, mine: Catalog, read: set[str]) -> Catalog:
+    """`now` with what a transaction changed between `base` and `mine`.
+
+    It conflicts with what others have committed since if they changed an object that it read or changed, or if names or
+    references no longer fit.
+    """
+    out = now.copy()
+    for kind in ("tables", "views", "sequences"):
+        ours, was, theirs, into = (getattr(c, kind) for c in (mine, base, now, out))
+        for name in {*ours, *was}:
+            changed = ours.get(name) != was.get(name)
+            if (changed or name in read) and theirs.get(name) != was.get(name):
+                raise EngineError(CONFLICT, f"another transaction has changed {name}")
+            if changed and name in ours:
+                into[name] = ours[name]
+            elif changed:
+                del into[name]
+    names = [*out.tables, *out.views, *out.sequences]
+    needed = {r for v in out.views.values() for r in v.reads} | {c.references for t in out.tables.values() for c in t.columns if c.references}
+    if len(set(names)) != len(names) or not needed <= {*out.tables, *out.views}:
+        raise EngineError(CONFLICT, "another transaction has changed a name or what refers to it")
+    return out

@@ -174,6 +174,29 @@ def test_two_writers_conflict_and_readers_keep_their_snapshot(db):
     assert before.count() == 2 and rows(db, "SELECT COUNT(*) FROM t") == [(1,)]
 
 
+def test_writers_of_different_tables_do_not_conflict(db):
+    for t in ("CREATE TABLE a (id BIGINT PRIMARY KEY)", "CREATE TABLE b (id BIGINT PRIMARY KEY, a BIGINT REFERENCES a(id))", "CREATE TABLE c (id BIGINT PRIMARY KEY)", "INSERT INTO a VALUES (1)"):
+        db.execute(t)
+    other = db.engine.session()
+    db.execute("BEGIN")
+    db.execute("INSERT INTO c VALUES (1)")
+    other.execute("INSERT INTO b VALUES (1, 1)")
+    db.execute("COMMIT")
+    assert rows(db, "SELECT COUNT(*) FROM b") == rows(db, "SELECT COUNT(*) FROM c") == [(1,)]
+    db.execute("BEGIN")
+    db.execute("INSERT INTO b VALUES (2, 1)")  # reads its parent
+    other.execute("INSERT INTO a VALUES (2)")
+    assert state(db.execute, "COMMIT") == "40001"
+    db.execute("BEGIN")
+    db.execute("CREATE VIEW v AS SELECT id FROM c")
+    other.execute("DROP TABLE c")
+    assert state(db.execute, "COMMIT") == "40001"
+    db.execute("BEGIN")
+    db.execute("CREATE TABLE d")
+    other.execute("CREATE VIEW d AS SELECT id FROM a")
+    assert state(db.execute, "COMMIT") == "40001"
+
+
 def test_parameters_are_counted(db):
     assert state(db.query, "SELECT id FROM flags WHERE id = ?") == "07001"
     assert sorted(rows(db, "SELECT id FROM flags WHERE id = ? OR enabled = ?", 3, True)) == [(2,), (3,), (4,)]
