@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import encode_parts, slices, small_batches, table, tidy
 
 #: Bytes, about, of the texts, pieces and ids that a task remembers; twice as many with those of the time before.  They go with the task.
-REMEMBERED = 24 << 20
+REMEMBERED = 48 << 20
 #: What a remembered text takes besides its bytes and those of its ids.
 ENTRY = 180
 #: Bytes of text that are encoded at once.
