@@ -222,8 +222,9 @@ def worker_bpe(ranks_path: str, pattern: str) -> ByteBpe:
 def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, ids_sha256, decoded_sha256.
 
-    Null is the empty text: no ids, and the digests of nothing.  Repeated rows and null ids each give a row; columns
-    besides doc_id and text are ignored.
+    Null is the empty text: no ids, and the digests of nothing.  Repeated rows and null ids each give a row, an
+    empty table gives none.  A long text is encoded part by part, cut where no piece of the pattern goes on.  Columns
+    besides doc_id and text are ignored, whatever their names.
     """
     import public_tokenizers
 

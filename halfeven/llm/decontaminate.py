@@ -44,6 +44,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     A word inside any occurrence of a window is hit.  Null or wordless text has no words and no hits; an empty
     benchmark hits nothing.  Repeated rows and null ids each give a row of their own.  text_key is the text's SHA-256.
+    An empty `docs` gives no rows.  A long text is one row of words; its windows leave that row in the task that reads
+    it.  Columns besides doc_id and text (item_id and text) are ignored, whatever their names.
     """
     grams = benchmark_windows(benchmark, window)
     facts = grams.groupBy("len").count().collect()  # at most `window` rows

@@ -346,6 +346,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Texts without words have no shingles and are linked with nothing.  Rows that share a doc_id count as one
     document; rows with a null doc_id stay alone, with a null component_id, and are kept.  An empty table gives no rows.
+    A long text is one set of shingles, taken in one row of its task.  Columns besides doc_id and text are ignored,
+    whatever their names.
     """
     small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

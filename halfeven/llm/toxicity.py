@@ -185,8 +185,9 @@ def scorer(model: Model):
 def toxicity_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null and empty texts have the score of the bias.  Null ids are not held out.  Repeated rows each give a row;
-    columns besides doc_id and text are ignored.
+    Null and empty texts have the score of the bias.  Null ids are not held out.  Repeated rows each give a row,
+    an empty table gives none.  A long text is scored as a whole.  Columns besides doc_id and text are ignored,
+    whatever their names.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     scored = docs.select("doc_id", held_out.alias("held_out"), scorer(model)(F.col("text")).alias("score"))

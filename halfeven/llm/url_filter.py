@@ -79,7 +79,8 @@ def url_filter(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, limit: f
     """One row per page: page_id, host, path, rule, verdict.
 
     A null url, or one without `://`, has an empty host and path and fits no rule; the vocabulary still judges it
-    (null: allow).  Only page_id and url are read; repeated rows and null ids each give a row.
+    (null: allow).  Only page_id and url are read, whatever the other columns are named; repeated rows and null ids
+    each give a row, an empty table gives none.  A long url is judged as a whole.
     """
     host, path = host_and_path(F.col("url"))
     read = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
