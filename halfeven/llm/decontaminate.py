@@ -3,7 +3,9 @@
 Every run of ten consecutive words of a benchmark item is a window; an item with fewer words is one
 window as a whole.  The windows go into a broadcast hash table and every window of every training
 text is looked up in it.  The key is the window's words, not a digest, so a match is verified as it
-is found.  The windows are counted first: beyond `MAX_BROADCAST` the same join runs as a shuffle.
+is found.  The bytes of the windows and their item_ids are counted first: beyond `MAX_BROADCAST` the same
+join runs as a shuffle.  A text makes its windows in blocks of `BLOCK` words, so a row holds a bounded
+number of them however long the text is.
 """
 
 from __future__ import annotations
@@ -14,15 +16,19 @@ from pyspark.sql import functions as F
 from .common import fresh, table, words
 
 WINDOW = 10
-#: At most this many windows (of some 60 to 100 bytes) are broadcast.
-MAX_BROADCAST = 500_000
+#: At most this many bytes of windows and item_ids are broadcast.
+MAX_BROADCAST = 64 << 20
+#: What a window or an item_id takes in a broadcast table besides its characters, at most.
+ENTRY = 64
+#: Words of a document whose windows are in one row.
+BLOCK = 2048
 
 
-def _windows(w, n: int):
-    """Array of (pos, len, ngram): every run of n consecutive words of the array w."""
-    run = lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("ngram"))
+def _windows(w, at, n: int, block: int):
+    """Array of (pos, len, ngram): every run of n consecutive words that starts among the first `block` of the array w."""
+    run = lambda i: F.struct((at + i).alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("ngram"))
     empty = F.array().cast("array<struct<pos:int,len:int,ngram:string>>")
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), run)).otherwise(empty)
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.least(F.size(w) - n, F.lit(block - 1))), run)).otherwise(empty)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -39,46 +45,48 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged hit runs of words), text_key.
 
     A word inside any occurrence of a window is hit.  Null or wordless text has no words and no hits; an empty
     benchmark hits nothing.  Repeated rows and null ids each give a row of their own.  text_key is the text's SHA-256.
-    An empty `docs` gives no rows.  A long text is one row of words; its windows leave that row in the task that reads
-    it.  Columns besides doc_id and text (item_id and text) are ignored, whatever their names.
+    An empty `docs` gives no rows.  A long text is one row of words; its windows leave that row block by block in the
+    task that reads it.  Columns besides doc_id and text (item_id and text) are ignored, whatever their names.
     """
     grams = benchmark_windows(benchmark, window)
-    facts = grams.groupBy("len").count().collect()  # at most `window` rows
-    if sum(r["count"] for r in facts) <= max_broadcast:
+    held = ENTRY + F.octet_length("ngram") + F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + F.octet_length(i) + ENTRY)
+    facts = grams.groupBy("len").agg(F.sum(held).alias("held")).collect()  # at most `window` rows
+    if sum(r["held"] for r in facts) <= max_broadcast:
         grams = F.broadcast(grams)
-    read = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
-        F.col("doc_id").alias("doc_id"),
-        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_key"),
-        words(F.col("text")).alias("w"),
-    )
+    read = docs.select(F.col("doc_id").alias("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_key"), words(F.col("text")).alias("w"))
+    longest = max((r["len"] for r in facts), default=1)
+    cut = lambda at: F.struct(at.alias("at"), F.slice(F.col("w"), at + 1, F.lit(block + longest - 1)).alias("w"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(block)), cut)
     # one row more stands for the document itself: it has length 0 and a key that no window has, another one for each document
-    own = F.array(F.struct(F.size("w").alias("pos"), F.lit(0).alias("len"), F.concat(F.lit(" "), F.col("row_id")).alias("ngram")))
-    scanned = F.concat(*[_windows(F.col("w"), r["len"]) for r in facts], own)
+    name = F.concat_ws(" ", F.lit(""), F.col("doc_id").cast("string"), F.col("text_key"))
+    own = F.when(F.col("b.at") == 0, F.array(F.struct(F.col("n_words").alias("pos"), F.lit(0).alias("len"), name.alias("ngram"))))
+    none = F.array().cast("array<struct<pos:int,len:int,ngram:string>>")
+    scanned = F.concat(*[_windows(F.col("b.w"), F.col("b.at"), r["len"], block) for r in facts], own.otherwise(none))
     hits = (
-        read.select("row_id", "doc_id", "text_key", F.explode(scanned).alias("x"))
-        .select("row_id", "doc_id", F.when(F.col("x.len") == 0, F.col("text_key")).alias("text_key"), "x.pos", "x.len", "x.ngram")
+        read.select("doc_id", "text_key", F.size("w").alias("n_words"), F.explode(blocks).alias("b"))
+        .select("doc_id", "text_key", F.explode(scanned).alias("x"))
+        .select("doc_id", "text_key", "x.pos", "x.len", "x.ngram")
         .join(grams, ["ngram", "len"], "left")
         .where(F.col("items").isNotNull() | (F.col("len") == 0))
-        .select("row_id", "doc_id", "text_key", "pos", "len", "items")
+        .select("doc_id", "text_key", "pos", "len", "items")
     )
-    # dealt by row_id, one per document: what meets in a group is bounded by one text's length
-    by_doc = hits.repartition("row_id").groupBy("row_id", "doc_id").agg(
-        F.max("text_key").alias("text_key"),
+    # rows with equal id and text have equal answers: they are one group, from which partial aggregation leaves one set a task
+    by_doc = hits.groupBy("doc_id", "text_key").agg(
+        F.count(F.when(F.col("len") == 0, 1)).alias("copies"),
         F.max(F.when(F.col("len") == 0, F.col("pos"))).alias("n_words"),
-        F.sort_array(F.collect_list(F.when(F.col("len") > 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))))).alias("places"),
+        F.sort_array(F.collect_set(F.when(F.col("len") > 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))))).alias("places"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     start = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("reach"))
     step = lambda a, x: F.struct(
         (a["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["pos"], a["reach"]))).alias("hit"), F.greatest(a["reach"], x["end"]).alias("reach")
     )
-    return by_doc.select(
+    found = by_doc.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
         F.aggregate("places", start, step)["hit"].cast("long").alias("n_hit"),
@@ -87,7 +95,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         (F.size("places") > 0).alias("contaminated"),
         F.col("places").alias("spans"),
         "text_key",
+        F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("copies"),
     )
+    return found.withColumn("copies", F.explode("copies")).drop("copies")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

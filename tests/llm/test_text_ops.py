@@ -118,6 +118,20 @@ def test_contamination(spark, most):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 7]
 
 
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_contamination_over_blocks_and_repeated_rows(spark, block):
+    """Windows that begin in one block and end in another; equal rows, with and without an id, each have a row."""
+    items = [(n, " ".join(f"w{k}" for k in range(n))) for n in range(1, 11)][3:] + [(20, " ".join(f"w{k}" for k in range(20)))]
+    text = " ".join(f"w{(k * 7) % 23 if k % 40 < 17 else k % 40 - 17}" for k in range(400))
+    rows = [(1, text), (1, text), (2, "w0 w1"), (3, "w0 w1 w2 w3"), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [*rows, (None, text), (None, text)])
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, bench, block=block).collect()]
+    want = [(d, *(lambda n, h, i: (n, h, len(i), brute.sha(",".join(i).encode())))(*brute.contamination([(d, t)], items)[d])) for d, t in rows]
+    want += [(None, *want[0][1:])] * 2
+    assert sorted(got, key=str) == sorted(want, key=str) and want[0][2] > 0
+
+
 def test_contamination_edges(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = clashing(spark)
