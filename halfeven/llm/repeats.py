@@ -18,6 +18,9 @@ Equal texts are one text in steps 1 and 2; a text of L or more bytes that has an
 whole.  Copies of texts that very many rows have (found by a frequent-items sketch, counted exactly and
 broadcast) never leave the task that reads them.  A bucket with more than `hot` anchors is not gathered: its windows are counted one by one by
 their digest, with partial aggregation, so no task gets a bucket that grows with the corpus.
+
+A text is named by a hash of 64 bits.  Names that different texts share are found over the whole corpus,
+by 60 bits of the texts' SHA-256, and those texts are named by these bits instead.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, table, tidy
@@ -130,6 +133,21 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield out()
 
 
+def _name(text: Column) -> Column:
+    return F.xxhash64(text, F.octet_length(text))
+
+
+def _second_name(text: Column) -> Column:
+    """The first 60 bits of the text's SHA-256."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
+def _renamed(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """`rows` with the second name where different texts share the first; few names are shared, so Spark broadcasts them."""
+    marked = rows.join(shared.withColumn("is_shared", F.lit(True)), "text_key", "left")
+    return marked.withColumn("text_key", F.when(F.col("is_shared"), F.col("second")).otherwise(F.col("text_key"))).drop("is_shared")
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return pc.cast(column, pa.binary()).fill_null(b"").to_pylist()
 
@@ -331,8 +349,13 @@ class Repeats:
         """
         small_batches(docs.sparkSession)
         text = F.coalesce(F.col("text"), F.lit(""))
-        read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text", F.octet_length("text")))
-        digests = materialise(read.select("doc_id", "text_key", F.octet_length("text").alias("size")).where(f"size >= {self.length}"), "digests")
+        read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+        read = read.withColumns({"text_key": _name(F.col("text")), "second": _second_name(F.col("text"))})
+        digests = materialise(read.where(F.octet_length("text") >= self.length).select("doc_id", "text_key", "second"), "digests")
+        shared = digests.groupBy("text_key").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo != hi")
+        shared = materialise(shared.select("text_key"), "shared_names")
+        if shared.take(1):
+            read, digests = _renamed(read, shared), _renamed(digests, shared)
         copies_of = lambda rows: rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("texts"))
         groups = copies_of(digests)
         # texts that very many rows have are settled where they are read: at most HEAVY keys, broadcast

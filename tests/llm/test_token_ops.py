@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from halfeven.llm import byte_bpe, repeats, token_store
 from halfeven.llm.common import forget_at_exit, scratch_path
@@ -162,6 +163,15 @@ def test_repeats_keep_the_first(spark, hot):
     assert len(copies) == 2 and got[copies[1]].kept == b""
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_texts_whose_names_collide_are_told_apart(spark, monkeypatch, keep):
+    docs = frame(spark, repeat_texts())
+    rows = lambda: {r.doc_id: (r.n_removed, bytes(r.kept)) for r in repeats.Repeats(40, keep, 16).apply(docs).collect()}
+    want = rows()
+    monkeypatch.setattr(repeats, "_name", lambda text: F.pmod(F.octet_length(text), F.lit(5)).cast("long"))
+    assert rows() == want
+
+
 def test_repeats_edges(spark):
     docs = spark.createDataFrame([(1, "a" * 300), (1, "a" * 300), (None, "b" * 10), (2, None)], "doc_id long, text string")
     got = sorted((r.n_bytes, r.n_removed) for r in repeats.Repeats(keep="none").apply(docs).collect())
