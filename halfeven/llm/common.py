@@ -47,7 +47,9 @@ def words(text: Column) -> Column:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder for a scratch table, in the shared folder named by spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # only a local session has none
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = f"file://{tempfile.mkdtemp(prefix='halfeven-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/halfeven/{label}-{uuid.uuid4().hex}"

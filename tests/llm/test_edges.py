@@ -23,6 +23,16 @@ def shape(rows, *columns):
     return sorted(([r[c] for c in columns] for r in rows), key=str)
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from halfeven.llm.common import scratch_path
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://driver:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        scratch_path(cluster, "x")
+
+
 def test_near_duplicates(docs):
     got = shape(near_dedup.near_duplicates(docs).collect(), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted([[1, 199_996, 1, True], [1, 199_996, 1, True], [2, 0, 2, True], [None, 0, None, True], [3, 1, 3, True]], key=str)
